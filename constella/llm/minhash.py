@@ -41,6 +41,18 @@ def _min_max(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _bands(signature: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each band; a band holds the minimum and the maximum under each of ``ROWS // 2`` permutations."""
+    s, half, n = signature.astype(np.uint64), ROWS // 2, signature.shape[1] // 2
+    out = np.empty((len(s), 2 * PERMS // ROWS), np.uint64)
+    for j in range(out.shape[1]):
+        v = np.full(len(s), j + 1, np.uint64)
+        for c in range(half * j, half * (j + 1)):
+            v = mix(mix(v + s[:, c]) + s[:, n + c])
+        out[:, j] = v
+    return out
+
+
 def _distinct(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     parts = [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
     sizes = np.array([len(p) for p in parts], dtype=np.int64)
@@ -59,13 +71,7 @@ def _sketcher(k: int):
                 if has.any():
                     first = at[:-1][has]
                     one[has], two[has] = np.add.reduceat(mix(h + np.uint64(1)), first), np.add.reduceat(mix(h ^ np.uint64(0x5BD1E995)), first)
-                    s = _min_max(h, at, PERMS).astype(np.uint64)
-                    half = ROWS // 2
-                    for j in range(bands.shape[1]):
-                        v = np.full(len(s), j + 1, np.uint64)
-                        for c in range(half * j, half * (j + 1)):
-                            v = mix(mix(v + s[:, c]) + s[:, PERMS + c])
-                        bands[has, j] = v
+                    bands[has] = _bands(_min_max(h, at, PERMS))
                 at_bands = pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands.shape[1])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.ListArray.from_arrays(at_bands, pa.array(bands.reshape(-1).view(np.int64)))], names=["doc_id", "n", "one", "two", "bands"])
 
@@ -77,10 +83,11 @@ def _setter(k: int):
         for whole in batches:
             for b in slices(whole):
                 h, at = _distinct(*shingle_hashes(*word_hashes(b.column("text")), k))
-                wide = np.zeros((len(at) - 1, 2 * WIDE), np.uint8)
-                if len(h):
-                    wide[np.diff(at) > 0] = (mix(_min_max(h, at, WIDE).astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([h[a:z].tobytes() for a, z in zip(at[:-1], at[1:], strict=True)], pa.binary()), pa.array([w.tobytes() for w in wide], pa.binary())], names=["id", "items", "wide"])
+                has = np.flatnonzero(np.diff(at))
+                signature = _min_max(h, at, WIDE) if len(h) else np.zeros((0, 2 * WIDE), np.uint32)
+                wide = (mix(signature.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
+                columns = [b.column("doc_id").take(pa.array(has)), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in ([h[at[i] : at[i + 1]] for i in has], wide, _bands(signature)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "items", "wide", "bands"])
 
     return sets
 
@@ -91,40 +98,85 @@ def _linker(percent: int):
             keep = np.zeros(b.num_rows, dtype=bool)
             for i, (x, y) in enumerate(zip(b.column("x"), b.column("y"), strict=True)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                if 100 * len(x) < percent * len(y):
-                    continue
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
+                if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                    both = _shared(x, y)
+                    keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
     return linked
 
 
-def _survivors(percent: int):
+def _likely(percent: int):
+    """Gives the pairs of a run that may be linked, lie in different components, and meet in no band before this one."""
     # an estimate lies below this with probability under 1e-6 when the similarity is at the threshold
     t = percent / 100
     least = (t - 5.2 * (t * (1 - t) / (2 * WIDE)) ** 0.5) * 2 * WIDE
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(run: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+        comp, n, side = (run.column(c).to_numpy() for c in ("component", "n", "block"))
+        wide, bands = fixed(run.column("wide"), np.uint8, 2 * WIDE), fixed(run.column("bands"), np.int64, 2 * PERMS // ROWS)
+        key, p, q = (run.column(c)[0].as_py() for c in ("key", "p", "q"))
+        band = int(np.flatnonzero(bands[0] == key)[0])
+        left = np.flatnonzero(side == p)
+        right = left if p == q else np.flatnonzero(side == q)
+        for i in left:
+            r = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+            if p == q:
+                r = r[r > i]
+            r = r[(wide[r] == wide[i]).sum(axis=1) >= least]
+            if band:
+                r = r[~(bands[r, :band] == bands[i, :band]).any(axis=1)]
+            if len(r):
+                yield int(i), r
+
+    return pairs
+
+
+def _open(percent: int):
+    """The rows of each run that are in a likely pair."""
+    likely = _likely(percent)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in runs(batches, ["key", "p", "q"]):
-            ids, comp, n = (run.column(c).to_numpy() for c in ("id", "component", "n"))
-            wide, side = fixed(run.column("wide"), np.uint8, 2 * WIDE), run.column("block").to_numpy()
-            p, q = run.column("p")[0].as_py(), run.column("q")[0].as_py()
-            left = np.flatnonzero(side == p)
-            right = left if p == q else np.flatnonzero(side == q)
-            for i in left:
-                r = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-                if p == q:
-                    r = r[r > i]
-                r = r[(wide[r] == wide[i]).sum(axis=1) >= least]
-                if len(r):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[r], ids[i])), pa.array(np.maximum(ids[r], ids[i]))], names=["a", "b"])
-
-    return compare
+            if run.num_rows > 1:
+                keep = np.zeros(run.num_rows, dtype=bool)
+                for i, r in likely(run):
+                    keep[i] = keep[r] = True
+                if keep.any():
+                    yield from run.select(["key", "p", "q", "id", "n", "component", "block"]).filter(pa.array(keep)).to_batches()
+
+    return rows
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many items two sorted sets share."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum())
+
+
+def _closer(percent: int):
+    """Links each run's likely pairs whose full sets agree; at most one link a row leaves a run."""
+    likely = _likely(percent)
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in runs(batches, ["key", "p", "q"]):
+            ids = run.column("id").to_numpy()
+            items = [np.frombuffer(x.as_buffer(), np.uint64) for x in run.column("items")]
+            label = np.arange(len(ids))
+            for i, r in likely(run):
+                for j in r:
+                    if label[i] != label[j]:
+                        both = _shared(items[i], items[j])
+                        if 100 * both >= percent * (len(items[i]) + len(items[j]) - both):
+                            label[label == label[j]] = label[i]
+            other = np.flatnonzero(label != np.arange(len(ids)))
+            if len(other):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[label[other]]), pa.array(ids[other])], names=["a", "b"])
+
+    return links
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 4, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -144,17 +196,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
     members = scratch.save(banded.join(buckets, "key"))
     # Text of the candidates alone is read again; their ids are distinct, so the join splits nowhere hot.
     wanted = scratch.save(members.select(F.col("id").alias("doc_id")).distinct())
-    sets = scratch.save(given.where("doc_id is not null").join(wanted, "doc_id", "left_semi").mapInArrow(_setter(k), "id long, items binary, wide binary").dropDuplicates(["id"]))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.save(pairs.distinct())
-        x = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
-        y = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-        out = scratch.save(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_linker(percent), "a long, b long"))
-        scratch.drop(pairs)
-        return out
+    sets = scratch.save(given.where("doc_id is not null").join(wanted, "doc_id", "left_semi").mapInArrow(_setter(k), "id long, items binary, wide binary, bands binary").dropDuplicates(["id"]))
 
-    links = confirmed(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+    x, y = (sets.select(F.col("id").alias(i), F.col("items").alias(v)) for i, v in (("a", "x"), ("b", "y")))
+    stars = scratch.save(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
+    links = scratch.save(stars.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_linker(percent), "a long, b long"))
     found = scratch.save(components(scratch, links))
     open_ = members.join(found, members.id == found.node, "left").select("key", "id", "n", "size", F.coalesce("component", "id").alias("component"))
     open_ = scratch.save(open_)
@@ -165,13 +211,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
         open_.join(parts, "key", "left_semi")
         .withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .join(sets.select("id", "wide"), "id")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "n", "component", "block", "wide")
+        .select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "n", "component", "block")
     )
-    pairs = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_survivors(percent), "a long, b long")
-    more = confirmed(pairs)
-    scratch.drop(open_, parts, members, buckets, sets, wanted)
+    side_by_side = lambda df: df.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    likely = side_by_side(dealt.join(sets.select("id", "wide", "bands"), "id")).mapInArrow(_open(percent), "key long, p int, q int, id long, n long, component long, block int")
+    likely = scratch.save(likely)
+    more = scratch.save(side_by_side(likely.join(sets, "id")).mapInArrow(_closer(percent), "a long, b long"))
+    scratch.drop(open_, parts, members, buckets, sets, wanted, stars, likely)
     final = scratch.save(components(scratch, found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
     scratch.drop(links, more, found)
     by_set = classes.select("one", "two", "n", "id").join(final, classes.id == final.node, "left").select("one", "two", "n", F.coalesce("component", "id").alias("component"))
