@@ -227,3 +227,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
     own = sketch.select("doc_id", "one", "two", "n").join(by_set, ["one", "two", "n"], "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
     return own.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+#: Links and their closure, for a query that ends in ``SELECT``; wants ``n(id, size)`` and ``link(a, b)`` with both directions.
+CLOSURE_SQL = "reach(id, other) AS (SELECT a, b FROM link UNION SELECT reach.id, link.b FROM reach JOIN link ON reach.other = link.a)"
+
+
+def oracle_sql(k: int = 4, percent: int = 80) -> str:
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = f"list_filter(string_split_regex(translate(text, '{letters}', '{letters.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+    runs = f"CASE WHEN len(w) >= {k} THEN list_transform(range(len(w) - {k - 1}), lambda i: array_to_string(w[i + 1:i + {k}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, {words} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id AS id, unnest({runs}) AS shingle FROM w),
+n AS (SELECT id, count(*) AS size FROM s GROUP BY id),
+p AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM s x JOIN s y USING (shingle) WHERE x.id <> y.id GROUP BY ALL),
+link AS (SELECT a, b FROM p JOIN n x ON a = x.id JOIN n y ON b = y.id WHERE 100 * shared >= {percent} * (x.size + y.size - shared)),
+{CLOSURE_SQL},
+c AS (SELECT id, least(id, min(other)) AS component FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(n.size, 0) AS n_shingles, coalesce(c.component, d.doc_id) AS component_id, coalesce(c.component, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.id = d.doc_id LEFT JOIN c ON c.id = d.doc_id"""

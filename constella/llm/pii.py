@@ -135,9 +135,9 @@ def find(spark: SparkSession, docs: DataFrame, least_seeds: int = LEAST_SEEDS, c
         seeds = graph.where("seeds > 0").select("instance").distinct().withColumn("score", F.lit(1.0))
         scores = scratch.save(seeds.union(unseen.join(seeds.select("instance"), "instance", "left_anti")))
     new = tagged.where(F.col("tag").isNull() & (F.char_length(F.regexp_replace("token", "[^0-9]", "")) >= LEAST_DIGITS)).select("row", "start", "end", F.explode("patterns").alias("pattern"))
-    new = new.join(good, "pattern", "left_semi").groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__pii_id"))
+    new = new.join(good, "pattern", "left_semi").groupBy(F.col("row").alias("__pii_of")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__pii_id"))
     new = scratch.save(new)
-    out = found.withColumn("__pii_row", key).join(new, F.col("__pii_row") == F.col("row"), "left").withColumn("__pii_id", F.coalesce("__pii_id", F.array().cast(SPAN)))
+    out = found.withColumn("__pii_row", key).join(new, F.col("__pii_row") == F.col("__pii_of"), "left").withColumn("__pii_id", F.coalesce("__pii_id", F.array().cast(SPAN)))
     return out.select(*[docs[c] for c in docs.columns], *extra)
 
 

@@ -203,7 +203,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, labelled: int =
     wanted = known.union(unknown.distinct().withColumn("quality", F.lit(None).cast("int")))
     rows = docs.select(*_given(docs)).join(wanted, "doc_id").mapInArrow(_featured, "doc_id long, quality int, t binary, m binary").toPandas()
     rows = rows.assign(o=[zlib.crc32(str(i).encode()) for i in rows.doc_id]).sort_values(["o", "doc_id"])
-    matrix = lambda part, c: np.array([np.frombuffer(x) for x in part[c]]).reshape(len(part), -1)
+    matrix = lambda part, c: np.array([np.frombuffer(x) for x in part[c]]) if len(part) else np.zeros((0, 1))
     good, rest = rows[rows.quality.notna()], rows[rows.quality.isna()]
     return CoTrained([matrix(good, "t"), matrix(good, "m")], good.quality.to_numpy(dtype=float), [matrix(rest, "t"), matrix(rest, "m")])
 

@@ -67,4 +67,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_decontamination": contain.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": minhash.oracle_sql(),
+    "op4_embedding_near_dedup": vectors.oracle_sql(),
+    "op6_decontamination": contain.oracle_sql(),
+    "op7_sharding": sharding.oracle_sql(),
+}

@@ -56,6 +56,14 @@ def interleave(spark: SparkSession, docs: DataFrame, shards: int = 8, seed: int
 
 
 def oracle_sql(shards: int = 8, seed: int = 42) -> str:
+    table = []
+    for i in range(256):
+        for _ in range(8):
+            i = (i >> 1) ^ (0xEDB88320 if i & 1 else 0)
+        table.append(i)
+    step = f"xor(c >> 8, CAST({table} AS UBIGINT[])[CAST((xor(c, b) & 255) AS BIGINT) + 1])"
+    data = "list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS UBIGINT))"
+    crc = f"CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), {data}), lambda c, b: {step}), 4294967295) AS BIGINT)"
     return f"""
 WITH base AS (
   SELECT doc_id, coalesce(source, '') AS stratum, md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
@@ -67,6 +75,6 @@ ranked AS (
 dealt AS (
   SELECT *, row_number() OVER (ORDER BY place, stratum, key, doc_id) - 1 AS pos, count(*) OVER () AS n FROM ranked),
 cut AS (SELECT *, CAST((pos * {shards}) // n AS INTEGER) AS shard FROM dealt)
-SELECT doc_id, size, {{crc}} AS text_crc32, 'rows' AS law, shard, CAST(pos - (shard * n + {shards - 1}) // {shards} AS BIGINT) AS slot,
+SELECT doc_id, size, {crc} AS text_crc32, 'rows' AS law, shard, CAST(pos - (shard * n + {shards - 1}) // {shards} AS BIGINT) AS slot,
        CAST(NULL AS INTEGER) AS grown_shard, stratum
 FROM cut"""

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .minhash import CLOSURE_SQL
 from .runs import fixed, runs
 from .store import Scratch, components
 
@@ -185,3 +186,15 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = 0.9
     out = packed.withColumn("live", F.col("vec_id").isNotNull() & F.col("unit").isNotNull()).select("vec_id", "live", "h1", "h2").join(known, ["h1", "h2"], "left")
     component = F.when(F.col("live"), F.col("component")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.when(F.col("live"), F.col("n_links")).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+
+
+def oracle_sql(threshold: float = 0.9) -> str:
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT id, e FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(e, lambda x: abs(x))) > 0),
+link AS (SELECT x.id AS a, y.id AS b FROM u x JOIN u y ON x.id <> y.id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= {threshold}),
+{CLOSURE_SQL},
+c AS (SELECT id, least(id, min(other)) AS component FROM reach GROUP BY id),
+l AS (SELECT a, count(*) AS links FROM link GROUP BY a)
+SELECT v.id AS vec_id, coalesce(l.links, 0) AS n_links, coalesce(c.component, v.id) AS component_id, coalesce(c.component, v.id) = v.id AS kept
+FROM v LEFT JOIN l ON l.a = v.id LEFT JOIN c ON c.id = v.id"""
