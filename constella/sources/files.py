@@ -77,8 +77,8 @@ def read_binary_table(spark: SparkSession, folder: str, table: str, schema: T.St
 
 def random_column(spark: SparkSession, rows: int, kind: str, seed: int, name: str = "value") -> DataFrame:
     """Seeded uniform values of an integer or floating type."""
-    low, high = {"tinyint": (-(2**7), 2**7), "smallint": (-(2**15), 2**15), "int": (-(2**31), 2**31), "bigint": (-(2**62), 2**62)}.get(kind, (0, 1))
-    value = F.rand(seed) * (high - low) + low
+    half = float(2 ** {"tinyint": 7, "smallint": 15, "int": 31, "bigint": 62}.get(kind, 0))
+    value = F.rand(seed) if kind in ("float", "double") else F.rand(seed) * (2 * half) - half
     return spark.range(rows).select(value.cast(kind).alias(name) if kind in ("float", "double") else F.floor(value).cast(kind).alias(name))
 
 
