@@ -7,9 +7,10 @@ a hash table, and two vectors meet where a substring is equal. A pair at the thr
 wanted recall at the threshold itself. All vectors are indexed; met pairs count only when their cosine in double precision
 reaches the threshold.
 
-Equal vectors are one class from the start. Buckets beyond ``BLOCK`` members are dealt over pairs of blocks. No pair leaves
-a task: a task gives, for each vector, how many new links it has there and the least vector of its local component. A pair
-that meets in several tables counts in the first of them only.
+Equal vectors are one class from the start. Buckets beyond ``BLOCK`` members are dealt over pairs of blocks. First only codes
+are dealt, and rows go on that are within a wide Hamming bound of another in their bucket; only those meet the vectors. No
+pair leaves a task: a task gives, for each vector, how many new links it has there and the least vector of its local
+component. A pair that meets in several tables counts in the first of them only.
 """
 
 from __future__ import annotations
@@ -80,27 +81,58 @@ def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _coder(rotations: list[np.ndarray], dims: int, bits: int, tables: int):
     each = max(1, dims // bits)
-    weights = (1 << np.arange(bits)).astype(np.int64)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 b = whole.slice(at, 2000)
                 x = fixed(pa.chunked_array([b.column("unit")]), np.float64, dims)
-                keys = np.empty((len(x), tables), dtype=np.int32)
-                for r, rotation in enumerate(rotations):
-                    signs = (x @ rotation) >= 0
-                    for j in range(each):
-                        if (t := r * each + j) < tables:
-                            keys[:, t] = signs[:, j * bits : (j + 1) * bits] @ weights
+                signs = np.hstack([((x @ r) >= 0)[:, : each * bits] for r in rotations])[:, : tables * bits]
+                codes, keys = np.packbits(signs, axis=1), _keys(signs, bits)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id"), b.column("weight"), b.column("unit"), pa.array([k.tobytes() for k in keys], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * tables), pa.array(keys.reshape(-1)))],
-                    names=["id", "weight", "unit", "keys", "list"],
+                    [b.column("id"), b.column("weight"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * tables), pa.array(keys.reshape(-1)))],
+                    names=["id", "weight", "codes", "list"],
                 )
 
     return code
 
 
+def _keys(signs: np.ndarray, bits: int) -> np.ndarray:
+    """The key of each vector in each table."""
+    return (signs.reshape(len(signs), -1, bits) @ (1 << np.arange(bits)).astype(np.int64)).astype(np.int32)
+
+
+def _sides(run: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    p, q = run.column("p")[0].as_py(), run.column("q")[0].as_py()
+    block = run.column("block").to_numpy()
+    left = np.flatnonzero(block == p)
+    return left, left if p == q else np.flatnonzero(block == q)
+
+
+def _likely(bits: int, tables: int, threshold: float):
+    """The rows of each run whose code is near that of another row that no earlier table brings together with it."""
+    total, differ = bits * tables, math.acos(threshold) / math.pi
+    most = total * differ + 9 * math.sqrt(total * differ * (1 - differ))  # bits of one pair are not independent
+    width = (total + 7) // 8
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in runs(batches, ["table", "key", "p", "q"]):
+            if run.num_rows < 2:
+                continue
+            codes = fixed(run.column("codes"), np.uint8, width)
+            left, right = _sides(run)
+            keep = np.zeros(run.num_rows, dtype=bool)
+            for i in left:
+                r = right[right > i] if left is right else right
+                r = r[np.bitwise_count(codes[r] ^ codes[i]).sum(axis=1, dtype=np.int64) <= most]
+                if len(r):
+                    keep[i] = keep[r] = True
+            if keep.any():
+                yield from run.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return near
+
+
 def _joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The least index of each item's component under the links ``(i, j)``."""
     label = np.arange(n)
@@ -114,22 +146,21 @@ def _joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return label
 
 
-def _linker(dims: int, tables: int, threshold: float):
+def _linker(dims: int, bits: int, tables: int, threshold: float):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_out, links_out, least_out = [], [], []
         for run in runs(batches, ["table", "key", "p", "q"]):
             if run.num_rows < 2:
                 continue
-            t, p, q = (run.column(c)[0].as_py() for c in ("table", "p", "q"))
-            ids, weight, block = (run.column(c).to_numpy() for c in ("id", "weight", "block"))
-            order = np.argsort(ids)
-            ids, weight, block = ids[order], weight[order], block[order]
-            x, keys = fixed(run.column("unit"), np.float64, dims)[order], fixed(run.column("keys"), np.int32, tables)[order]
-            left = np.flatnonzero(block == p)
-            right = left if p == q else np.flatnonzero(block == q)
+            t, ids = run.column("table")[0].as_py(), run.column("id").to_numpy()
+            run = run.take(pa.array(np.argsort(ids)))
+            ids, weight = run.column("id").to_numpy(), run.column("weight").to_numpy()
+            x, codes = fixed(run.column("unit"), np.float64, dims), fixed(run.column("codes"), np.uint8, (bits * tables + 7) // 8)
+            keys = _keys(np.unpackbits(codes, axis=1, count=bits * tables), bits)
+            left, right = _sides(run)
             i, j = np.nonzero(x[left] @ x[right].T >= threshold)
             i, j = left[i], right[j]
-            once = i < j if p == q else np.ones(len(i), dtype=bool)
+            once = i < j if left is right else np.ones(len(i), dtype=bool)
             i, j = i[once], j[once]
             if t:
                 new = ~(keys[i, :t] == keys[j, :t]).any(axis=1)
@@ -170,14 +201,17 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = 0.9
         sample = own.select("unit", F.xxhash64("id").alias("o")).orderBy("o", "unit").limit(SAMPLE).select("unit").toArrow()
         x = fixed(sample.column("unit"), np.float64, dims)
         rotations = learn_rotations(x, math.ceil(tables / max(1, dims // bits)))
-        coded = scratch.save(own.mapInArrow(_coder(rotations, dims, bits, tables), "id long, weight long, unit binary, keys binary, list array<int>"))
+        coded = scratch.save(own.mapInArrow(_coder(rotations, dims, bits, tables), "id long, weight long, codes binary, list array<int>"))
         sizes = coded.select(F.posexplode("list").alias("table", "key")).groupBy("table", "key").agg(F.count("*").alias("size")).where("size > 1")
         sizes = scratch.save(sizes.select("table", "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-        met = coded.select("id", "weight", "unit", "keys", F.posexplode("list").alias("table", "key")).join(sizes, ["table", "key"])
+        met = coded.select("id", "weight", "codes", F.posexplode("list").alias("table", "key")).join(sizes, ["table", "key"])
         met = met.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        met = met.select("table", "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "weight", "unit", "keys")
-        met = met.repartition("table", "key", "p", "q").sortWithinPartitions("table", "key", "p", "q")
-        found = found.union(scratch.save(met.mapInArrow(_linker(dims, tables, threshold), "id long, links long, least long")))
+        met = met.select("table", "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "weight", "codes")
+        side_by_side = lambda df: df.repartition("table", "key", "p", "q").sortWithinPartitions("table", "key", "p", "q")
+        likely = scratch.save(side_by_side(met).mapInArrow(_likely(bits, tables, threshold), "table int, key int, p int, q int, block int, id long, weight long, codes binary"))
+        met = side_by_side(likely.join(own.select("id", "unit"), "id"))
+        found = found.union(scratch.save(met.mapInArrow(_linker(dims, bits, tables, threshold), "id long, links long, least long")))
+        scratch.drop(likely)
         scratch.drop(coded, sizes)
     joined = scratch.save(components(scratch, found.select(F.col("id").alias("a"), F.col("least").alias("b"))))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
