@@ -34,8 +34,8 @@ from .words import mix, slices, word_hashes
 DISCOUNT = 0.75
 END = np.uint64(0x8F1BBCDCCA62C1D6)
 SPAN = 9.6  # decades that the quantised logarithms cover
-WORDS_A_SHARD, TOKENS_A_SHARD, LEAST_SHARDS = 500_000, 4_000_000, 16
-HELD_TOKENS = 1_500_000  # tokens a task gathers before it combines counts
+WORDS_A_SHARD, TOKENS_A_SHARD, LEAST_SHARDS = 500_000, 1_000_000, 16
+HELD_TOKENS = 1_000_000  # tokens a task gathers before it combines counts
 
 
 def _local(folder: str) -> str:
@@ -242,7 +242,7 @@ def _scorer(words: tuple, pairs: tuple, start: int, starts_count: int, total: in
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = Words(*words), Pairs(*pairs)
         for whole in batches:
-            for b in slices(whole, most=4 << 20):
+            for b in slices(whole, most=2 << 20):
                 h, of = tokens(b.column("text"))
                 word, context, count = _pairs(h, of[:-1], one, start)
                 n = np.diff(of)
