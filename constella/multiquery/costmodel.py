@@ -31,6 +31,10 @@ class Profile:
     least_share: float = 0.20
 
 
+#: The far tier is a Parquet scan with the joins of a view, the near tier the Spark cache.
+SPARK = Profile(far_bandwidth=0.2, far_latency=1e6, near_bandwidth=2.0, near_latency=1e5, setup=2e7, chunk=1 << 20)
+
+
 @dataclass(frozen=True)
 class Estimate:
     ratio: float
