@@ -41,7 +41,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def pii_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in texts by its kind."""
     masked = pii.masked(pii.find(spark, docs))
-    return masked.withColumn("n_chars", F.char_length("text").cast("long"))
+    return masked.withColumn("n_chars", F.coalesce(F.char_length("text"), F.col("n_chars")).cast("long"))
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
