@@ -15,6 +15,8 @@ All counts are over the whole corpus and combined before the shuffle; the graph'
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,28 +32,57 @@ PATTERNS = {
 #: A text without these has no match of the kind.
 HINTS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][ -]?[0-9][ -]?[0-9]", "phone": "\\+[0-9]"}
 TOKEN = r"(?<![^ \t-\r])[^ \t-\r0-9@]*+[0-9@][^ \t-\r]*+"
+CONTEXT = ",token:string,before:string,before2:string,after:string"
 SPAN = "array<struct<start:int,end:int>>"
+BLOCK = 128
 ROUNDS, LEAST_SEEDS, CONFIDENT, LEAST_DIGITS = 3, 5, 0.9, 5
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a bound variable, so that ``value`` is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _blocks(values: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(values), F.lit(1)) - 1) / BLOCK).cast("int")), lambda i: F.slice(values, i * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _running(values: Column, kind: str, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each integer what ``combine``, which is associative with 0 as its neutral value, makes of those before it.
+
+    Arrays can only be appended to by copying them, so the values are combined in blocks and then inside each block from
+    what came before it: a text with very many spans costs little more than its length.
+    """
+    zero, none = F.lit(0).cast(kind), F.array().cast(f"array<{kind}>")
+
+    def scan(part: Column, at: Column) -> Column:
+        step = lambda acc, v: F.struct(combine(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(part, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def joined(blocks: Column) -> Column:
+        before = scan(F.transform(blocks, lambda b: F.aggregate(b, zero, combine)), zero)
+        return F.flatten(F.zip_with(blocks, before, scan))
+
+    return _let(values, lambda v: _let(_blocks(v), joined))
+
+
 def _located(text: Column, pattern: str, valid: str, more: str = "", more_type: str = "") -> Column:
     """An array of ``(start, end)`` in code points for the valid matches; ``more`` adds fields from ``m`` and the gaps around it."""
     gaps, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
     if more:
         pieces = F.zip_with(pieces, F.slice(gaps, 2, F.greatest(F.size(gaps), F.lit(1))), lambda p, r: F.struct(p["g"].alias("g"), p["m"].alias("m"), r.alias("r")))
-    kind = f"array<struct<start:int,end:int{more_type}>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
-        m, g, r = p["m"], p["g"], p["r"] if more else None
-        begin = acc["at"] + F.char_length(g)
-        end = begin + F.char_length(m)
-        found = F.array(F.struct(begin.alias("start"), end.alias("end"), *(c.alias(n) for n, c in _fields(more, m, g, r))))
-        out = F.when(_valid(valid, m), F.concat(acc["out"], found.cast(kind))).otherwise(acc["out"])
-        return F.struct(F.coalesce(end, acc["at"]).alias("at"), out.alias("out"))
+    def placed(p: Column, at: Column) -> Column:
+        begin = at + F.char_length(p["g"])
+        return F.struct(begin.alias("start"), (begin + F.char_length(p["m"])).alias("end"), p.alias("p"))
+
+    def spans(ps: Column) -> Column:
+        at = _running(F.transform(ps, lambda p: F.char_length(p["g"]) + F.char_length(p["m"])), "int", lambda x, y: x + y)
+        good = F.filter(F.zip_with(ps, at, placed), lambda s: _valid(valid, s["p"]["m"]))
+        return F.transform(good, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), *(c.alias(n) for n, c in _fields(more, s["p"]["m"], s["p"]["g"], s["p"]["r"] if more else None))))
 
-    return F.aggregate(F.filter(pieces, lambda p: p["m"].isNotNull()), start, step, lambda acc: acc["out"])
+    return _let(F.filter(pieces, lambda p: p["m"].isNotNull()), spans).cast(f"array<struct<start:int,end:int{more_type}>>")
 
 
 def _digits(m: Column) -> Column:
@@ -91,6 +122,26 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {k: F.when(F.regexp_like(text, F.lit(HINTS[k])), _located(text, PATTERNS[k], k)).otherwise(none) for k in KINDS}
 
 
+def _marked(tokens: Column, spans: list[Column]) -> Column:
+    """Each token ``t`` with ``starting``, a bit for each array of spans one of which starts in it, and ``touched`` by an earlier one."""
+    new_token = 1 << len(spans)  # before the first token, and wherever another begins, no span has been met
+    entry = lambda s, bit, t: F.struct(s["start"].alias("start"), F.lit(bit).alias("bit"), s["end"].alias("end"), t.alias("t"))
+
+    def merged(ts: Column) -> Column:
+        none = F.lit(None).cast(f"struct<start:int,end:int{CONTEXT}>")
+        own = F.transform(ts, lambda t: entry(t, 0, t))
+        return F.sort_array(F.concat(own, *[F.transform(s, lambda x, b=1 << i: entry(x, b, none)) for i, s in enumerate(spans)]))
+
+    def marks(es: Column) -> Column:
+        reach = _running(F.transform(es, lambda e: F.when(e["bit"] > 0, e["end"]).otherwise(F.lit(0))), "int", lambda x, y: F.greatest(x, y))
+        after = _running(F.transform(F.reverse(es), lambda e: F.when(e["bit"] > 0, e["bit"]).otherwise(F.lit(new_token))), "int", lambda x, y: F.when(y >= new_token, y).otherwise(x.bitwiseOR(y)))
+        both = F.zip_with(reach, F.reverse(after), lambda r, a: F.struct(r.alias("reach"), a.alias("after")))
+        out = F.zip_with(es, both, lambda e, b: F.struct(e["bit"].alias("bit"), e["t"].alias("t"), b["after"].bitwiseAND(new_token - 1).alias("starting"), (b["reach"] > e["start"]).alias("touched")))
+        return F.filter(out, lambda o: o["bit"] == 0)
+
+    return _let(_let(tokens, merged), marks)
+
+
 def _spelled(spans: Column, kind: str) -> Column:
     return F.transform(spans, lambda s: F.concat(F.lit(f"{kind}:"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string")))
 
@@ -104,17 +155,13 @@ def find(spark: SparkSession, docs: DataFrame, least_seeds: int = LEAST_SEEDS, c
     extra = [f"__pii_{k}" for k in (*KINDS, "id")]
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.withColumns({f"__pii_{k}": v for k, v in base_spans(text).items()})
-    none = F.array().cast("array<struct<start:int,end:int,token:string,before:string,before2:string,after:string>>")
-    tokens = F.when(F.regexp_like(text, F.lit("[0-9@]")), _located(text, TOKEN, "", "context", ",token:string,before:string,before2:string,after:string")).otherwise(none)
+    none = F.array().cast(f"array<struct<start:int,end:int{CONTEXT}>>")
+    tokens = F.when(F.regexp_like(text, F.lit("[0-9@]")), _located(text, TOKEN, "", "context", CONTEXT)).otherwise(none)
     key = F.xxhash64(F.col("doc_id"), text)
-    # One row for each instance, with the kind of the base span that starts in it, 'part' if it only touches one.
-    touching = lambda s, t: (s["start"] < t["end"]) & (s["end"] > t["start"])
-    starting = lambda s, t: (s["start"] >= t["start"]) & (s["start"] < t["end"])
-    tagged = found.where(F.regexp_like(text, F.lit("[0-9@]"))).select(key.alias("row"), *[f"__pii_{k}" for k in KINDS], F.explode(tokens).alias("t"))
-    tag = F.coalesce(
-        *[F.when(F.exists(f"__pii_{k}", lambda s: starting(s, F.col("t"))), F.lit(k)) for k in KINDS],
-        *[F.when(F.exists(f"__pii_{k}", lambda s: touching(s, F.col("t"))), F.lit("part")) for k in KINDS],
-    )
+    # One row for each instance, with the kind of the base span that starts in it, 'part' if one only touches it.
+    marked = _marked(tokens, [F.col(f"__pii_{k}") for k in KINDS])
+    tagged = found.where(F.regexp_like(text, F.lit("[0-9@]"))).select(key.alias("row"), F.explode(marked).alias("e")).select("row", "e.t", "e.starting", "e.touched")
+    tag = F.coalesce(*[F.when(F.col("starting").bitwiseAND(1 << i) > 0, F.lit(k)) for i, k in enumerate(KINDS)], F.when(F.col("touched"), F.lit("part")))
     label = F.regexp_extract("t.token", "^([^0-9@:=]{2,40}[:=])", 1)
     tagged = tagged.select("row", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.col("t.token").alias("token"), tag.alias("tag"), F.xxhash64("t.token").alias("instance"), F.filter(F.array(
         F.when(F.col("t.before") != "", F.concat(F.lit("1 "), "t.before")), F.when(F.col("t.before2") != "", F.concat(F.lit("2 "), "t.before2")),
@@ -129,7 +176,7 @@ def find(spark: SparkSession, docs: DataFrame, least_seeds: int = LEAST_SEEDS, c
     scores = scratch.save(graph.where("seeds > 0").select("instance").distinct().withColumn("score", F.lit(1.0)))
     for _ in range(ROUNDS):
         explained = graph.join(scores, "instance").select("pattern", "whole", (F.col("n") * F.col("score")).alias("part"))
-        good = scratch.save(explained.groupBy("pattern").agg((F.sum("part") / F.first("whole")).alias("confidence")).where(F.col("confidence") >= confident))
+        good = scratch.save(explained.groupBy("pattern").agg(F.round(F.sum("part") / F.first("whole"), 9).alias("confidence")).where(F.col("confidence") >= confident))
         doubt = graph.join(good, "pattern").select("instance", "seeds", F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9))).alias("doubt"))
         unseen = doubt.groupBy("instance").agg(F.sum("seeds").alias("seeds"), F.sum("doubt").alias("doubt")).where("seeds = 0").select("instance", (1 - F.exp("doubt")).alias("score"))
         seeds = graph.where("seeds > 0").select("instance").distinct().withColumn("score", F.lit(1.0))
@@ -159,13 +206,20 @@ def masked(found: DataFrame) -> DataFrame:
     def labelled(kind: str) -> Column:
         return F.transform(f"__pii_{kind}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"<{kind}>").alias("mask")))
 
-    all_spans = F.array_sort(F.concat(*[labelled(k) for k in kinds]))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    all_spans = F.sort_array(F.concat(*[labelled(k) for k in kinds]))
+
+    def cut(block: Column) -> Column:
+        """The text before each span of a block and its mask; positions are looked up in the block's own stretch of text."""
+        first = F.get(block, F.lit(0))["at"]
+        stretch = F.substring("text", first + 1, F.element_at(block, -1)["s"]["start"] - first)
+        return _let(stretch, lambda x: F.array_join(F.transform(block, lambda c: F.concat(F.substring(x, c["at"] - first + 1, c["s"]["start"] - c["at"]), c["s"]["mask"])), ""))
 
-    def step(acc: Column, s: Column) -> Column:
-        plain = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), s["mask"])).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), plain.alias("out"))
+    def replaced(spans: Column) -> Column:
+        at = _running(F.transform(spans, lambda s: s["end"]), "int", lambda x, y: F.greatest(x, y))
+        kept = F.filter(F.zip_with(spans, at, lambda s, a: F.struct(s.alias("s"), a.alias("at"))), lambda c: c["s"]["start"] >= c["at"])
+        rest = F.substring("text", F.array_max(F.transform(spans, lambda s: s["end"])) + 1, F.char_length("text"))
+        return F.concat(F.array_join(_let(kept, lambda k: F.transform(_blocks(k), cut)), ""), rest)
 
-    done = F.aggregate(all_spans, start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.char_length("text"))))
+    done = _let(all_spans, replaced)
     text = F.when(F.size(all_spans) > 0, done).otherwise(F.col("text"))
     return found.withColumn("text", text).drop(*[f"__pii_{k}" for k in kinds])

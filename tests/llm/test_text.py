@@ -46,8 +46,8 @@ def luhn(s):
 
 
 def base(x):
-    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", x)]
-    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", x) if all(int(p) <= 255 for p in m[0].split("."))]
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", x if "@" in x else "")]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", x if "." in x else "") if all(int(p) <= 255 for p in m[0].split("."))]
     digits = lambda m: re.sub("[^0-9]", "", m[0])
     out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", x) if 13 <= len(digits(m)) <= 19 and luhn(digits(m))]
     return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", x) if 9 <= len(digits(m)) <= 15]
@@ -59,7 +59,7 @@ def test_base_spans(spark, small):
     for k in range(1500):
         letters = rng.choice(["a.@b-", "1.2", "1 -2", "+1 (.)-", "ab@. 1-+é", "4 -", "😀1.@a"])
         rows.append((10_000 + k, "".join(rng.choice(letters) for _ in range(rng.randint(0, 60)))))
-    rows += [(50_000, "a" * 100_000), (50_001, "1" * 100_000), (50_002, "a@b.c_d@e.f " * 500), (50_003, None), (50_004, "1.2.3.4.5.6.7.8 x +1" + " " * 50_000), (50_005, "a." * 40_000), (50_006, "x@" + "a." * 40_000 + "b")]
+    rows += [(50_000, "a" * 100_000), (50_001, "1" * 100_000), (50_002, "a@b.c_d@e.f " * 500), (50_003, None), (50_004, "1.2.3.4.5.6.7.8 x +1" + " " * 50_000), (50_005, "a." * 40_000), (50_006, "x@" + "a." * 40_000 + "b"), (50_007, " ".join(f"w{i} me{i}@x.org 10.0.{i % 300}.1 é" for i in range(4000)))]
     got = pii.digest(pii.find(spark, spark.createDataFrame(rows, "doc_id long, text string"))).collect()
     texts = dict(rows)
     assert len(got) == len(rows)
@@ -71,6 +71,38 @@ def test_base_spans(spark, small):
         assert set(spelled) <= set(r.spans.split(",")) | ({""} if not spelled else set())
 
 
+def test_masks_of_many_spans(spark):
+    rows = [(1, " ".join(f"é{i} me{i}@x.org 10.0.0.{i % 256}, +1 415 555 {i:04d}" for i in range(700))), (2, "a@b.cc"), (3, "none"), (4, None), (5, "x +1.2.3.4.5.6.7.8.9 y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in pii.masked(pii.find(spark, docs)).collect():
+        text, at, want = dict(rows)[r.doc_id], 0, []
+        for start, end, kind in sorted((s, e, k) for k, s, e in base(text or "")):
+            if start >= at:
+                want += [text[at:start], f"<{kind}>"]
+            at = max(at, end)
+        assert r.text == (text if text is None else "".join(want) + text[at:])
+
+
+def test_tokens_are_marked_by_the_spans_that_start_in_or_touch_them(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):
+        cuts = sorted(rng.sample(range(400), 2 * rng.randint(0, 90)))
+        spans = [sorted(rng.sample(range(400), 2 * rng.randint(0, 12))) for _ in pii.KINDS]
+        rows.append((i, *[[(a, b) for a, b in zip(c[::2], c[1::2], strict=True)] for c in (cuts, *spans)]))
+    whole = f"array<struct<start:int,end:int{pii.CONTEXT}>>"
+    df = spark.createDataFrame(rows, f"i int, t {pii.SPAN}, " + ", ".join(f"{k} {pii.SPAN}" for k in pii.KINDS))
+    tokens = F.transform("t", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), *[F.lit("").alias(c) for c in ("token", "before", "before2", "after")])).cast(whole)
+    for r in df.select("*", pii._marked(tokens, [F.col(k) for k in pii.KINDS]).alias("m")).collect():
+        nexts = [t.start for t in r.t[1:]] + [10**9]
+        for t, after, m in zip(r.t, nexts, r.m, strict=True):
+            assert (m.t.start, m.t.end) == (t.start, t.end)
+            assert m.starting == sum(1 << j for j, k in enumerate(pii.KINDS) if any(t.start <= s.start < after for s in r[k]))
+            assert m.touched == any(s.start < t.start < s.end for k in pii.KINDS for s in r[k])
+
+
 def test_context_finds_unseen_identifiers_and_leaves_others(spark):
     rows = [(i, f"please write to contact me{i}@mail.example today") for i in range(20)] + [(100, "please write to contact user77123-x today"), (101, "the year 19950 was long and 20011 too"), (102, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", __import__("pyspark.sql.functions", fromlist=["lit"]).lit("clash"))
