@@ -130,7 +130,8 @@ def _marked(tokens: Column, spans: list[Column]) -> Column:
     def merged(ts: Column) -> Column:
         none = F.lit(None).cast(f"struct<start:int,end:int{CONTEXT}>")
         own = F.transform(ts, lambda t: entry(t, 0, t))
-        return F.sort_array(F.concat(own, *[F.transform(s, lambda x, b=1 << i: entry(x, b, none)) for i, s in enumerate(spans)]))
+        of_kind = lambda s, bit: F.transform(s, lambda x: entry(x, bit, none))
+        return F.sort_array(F.concat(own, *[of_kind(s, 1 << i) for i, s in enumerate(spans)]))
 
     def marks(es: Column) -> Column:
         reach = _running(F.transform(es, lambda e: F.when(e["bit"] > 0, e["end"]).otherwise(F.lit(0))), "int", lambda x, y: F.greatest(x, y))

@@ -96,7 +96,7 @@ def test_tokens_are_marked_by_the_spans_that_start_in_or_touch_them(spark):
     df = spark.createDataFrame(rows, f"i int, t {pii.SPAN}, " + ", ".join(f"{k} {pii.SPAN}" for k in pii.KINDS))
     tokens = F.transform("t", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), *[F.lit("").alias(c) for c in ("token", "before", "before2", "after")])).cast(whole)
     for r in df.select("*", pii._marked(tokens, [F.col(k) for k in pii.KINDS]).alias("m")).collect():
-        nexts = [t.start for t in r.t[1:]] + [10**9]
+        nexts = [*[t.start for t in r.t[1:]], 10**9][: len(r.t)]
         for t, after, m in zip(r.t, nexts, r.m, strict=True):
             assert (m.t.start, m.t.end) == (t.start, t.end)
             assert m.starting == sum(1 << j for j, k in enumerate(pii.KINDS) if any(t.start <= s.start < after for s in r[k]))
