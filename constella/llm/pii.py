@@ -6,8 +6,9 @@ text.
 
 Bootstrapping: tokens that hold a digit or ``@`` are instances; their lexical patterns are the word before, the two words
 before, the word after, and a label glued to the token by ``:`` or ``=``. Seeds are the instances inside base spans. In each
-round a pattern's confidence is the share of its occurrences that its scored instances explain, and an instance's score is
-the chance that at least one of its confident patterns is right. After the last round the tokens that stand in a confident
+round a pattern's support is the number of different seeds and surely scored instances it stands around, its confidence is the
+share of its occurrences that its scored instances explain, and an instance's score is the chance that at least one of its
+confident patterns is right; so instances found in one round induce patterns in the next. After the last round the tokens that stand in a confident
 pattern and look like an identifier become spans of kind ``id``, unless they touch a base span.
 
 All counts are over the whole corpus and combined before the shuffle; the graph's tables are written each round.
@@ -171,17 +172,15 @@ def find(spark: SparkSession, docs: DataFrame, least_seeds: int = LEAST_SEEDS, c
     tagged = scratch.save(tagged)
     edges = tagged.where("tag is null or tag <> 'part'").select(F.explode("patterns").alias("pattern"), "instance", "tag").groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.count("tag").alias("seeds"))
     edges = scratch.save(edges)
-    # Only patterns that enough different seeds stand in can become confident; the rest never matters.
-    support = scratch.save(edges.groupBy("pattern").agg(F.sum(F.when(F.col("seeds") > 0, 1).otherwise(0)).alias("support"), F.sum("n").alias("whole")).where(F.col("support") >= least_seeds))
-    graph = scratch.save(edges.join(support, "pattern").select("pattern", "instance", "n", "seeds", "whole"))
-    scores = scratch.save(graph.where("seeds > 0").select("instance").distinct().withColumn("score", F.lit(1.0)))
+    known = scratch.save(edges.where("seeds > 0").select("instance").distinct().withColumn("score", F.lit(1.0)))
+    scores = known
     for _ in range(ROUNDS):
-        explained = graph.join(scores, "instance").select("pattern", "whole", (F.col("n") * F.col("score")).alias("part"))
-        good = scratch.save(explained.groupBy("pattern").agg(F.round(F.sum("part") / F.first("whole"), 9).alias("confidence")).where(F.col("confidence") >= confident))
-        doubt = graph.join(good, "pattern").select("instance", "seeds", F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9))).alias("doubt"))
-        unseen = doubt.groupBy("instance").agg(F.sum("seeds").alias("seeds"), F.sum("doubt").alias("doubt")).where("seeds = 0").select("instance", (1 - F.exp("doubt")).alias("score"))
-        seeds = graph.where("seeds > 0").select("instance").distinct().withColumn("score", F.lit(1.0))
-        scores = scratch.save(seeds.union(unseen.join(seeds.select("instance"), "instance", "left_anti")))
+        # All patterns take part in each round: what was found in one round supports patterns without any seed in the next.
+        rated = edges.join(scores, "instance", "left").groupBy("pattern").agg(F.count_if(F.col("score") >= confident).alias("support"), F.round(F.sum(F.col("n") * F.coalesce("score", F.lit(0.0))) / F.sum("n"), 9).alias("confidence"))
+        good = scratch.save(rated.where((F.col("support") >= least_seeds) & (F.col("confidence") >= confident)).select("pattern", "confidence"))
+        doubt = edges.join(good, "pattern").select("instance", F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9))).alias("doubt"))
+        unseen = doubt.groupBy("instance").agg(F.sum("doubt").alias("doubt")).select("instance", (1 - F.exp("doubt")).alias("score"))
+        scores = scratch.save(known.union(unseen.join(known, "instance", "left_anti")))
     new = tagged.where(F.col("tag").isNull() & (F.char_length(F.regexp_replace("token", "[^0-9]", "")) >= LEAST_DIGITS)).select("row", "start", "end", F.explode("patterns").alias("pattern"))
     new = new.join(good, "pattern", "left_semi").groupBy(F.col("row").alias("__pii_of")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__pii_id"))
     new = scratch.save(new)

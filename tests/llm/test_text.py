@@ -114,6 +114,13 @@ def test_context_finds_unseen_identifiers_and_leaves_others(spark):
     assert masked[101].text == rows[21][1] and masked[102].text is None and masked[3].row == "clash"
 
 
+def test_found_identifiers_induce_patterns_without_base_seeds(spark):
+    rows = [(i, f"please write to contact me{i}@mail.example today") for i in range(200)] + [(1000 + i, f"please write to contact user77{i:03d}-x today") for i in range(12)]
+    rows += [(2000 + i, f"show badge no user77{i:03d}-x there") for i in range(12)] + [(3000, "wear badge no zx99812"), (3001, "room about zx99813")]
+    found = {r.doc_id: r.spans for r in pii.digest(pii.find(spark, spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert found[3000] == "id:14:21" and found[2003].startswith("id:14:") and found[3001] == ""
+
+
 def test_pii_of_an_empty_table(spark):
     assert pii.digest(pii.find(spark, spark.createDataFrame([], "doc_id long, text string"))).collect() == []
 
