@@ -6,10 +6,12 @@ text.
 
 Bootstrapping: tokens that hold a digit or ``@`` are instances; their lexical patterns are the word before, the two words
 before, the word after, and a label glued to the token by ``:`` or ``=``. Seeds are the instances inside base spans. In each
-round a pattern's support is the number of different seeds and surely scored instances it stands around, its confidence is the
-share of its occurrences that its scored instances explain, and an instance's score is the chance that at least one of its
-confident patterns is right; so instances found in one round induce patterns in the next. After the last round the tokens that stand in a confident
-pattern and look like an identifier become spans of kind ``id``, unless they touch a base span.
+round a pattern's support is the number of different seeds and surely scored instances it stands around. Its confidence is a
+smoothed ratio of what its scored instances explain against the rest of them and against ordinary numbers; instances not yet
+scored are unknown and count on neither side. An instance's score is the chance that at least one of its confident patterns is
+right, or the best confidence of the others, and is carried into the next round, so instances found in one round induce
+patterns in the next. After the last round the tokens that stand in a confident pattern become spans of kind ``id``, unless
+they touch a base span.
 
 All counts are over the whole corpus and combined before the shuffle; the graph's tables are written each round.
 """
@@ -36,7 +38,9 @@ TOKEN = r"(?<![^ \t-\r])[^ \t-\r0-9@]*+[0-9@][^ \t-\r]*+"
 CONTEXT = ",token:string,before:string,before2:string,after:string"
 SPAN = "array<struct<start:int,end:int>>"
 BLOCK = 128
-ROUNDS, LEAST_SEEDS, CONFIDENT, LEAST_DIGITS = 3, 5, 0.9, 5
+ROUNDS, LEAST_SEEDS, CONFIDENT, CARRIED = 3, 5, 0.9, 0.5
+#: Lower-cased tokens that are proven to identify nobody unless they are seeds: short numbers, ordinals, decades, times, amounts.
+ORDINARY = r"^[^a-z0-9@]*[0-9]{1,4}(?:[.,:/-][0-9]{1,3}){0,2}[a-z]{0,2}[^a-z0-9@]*$"
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -165,23 +169,26 @@ def find(spark: SparkSession, docs: DataFrame, least_seeds: int = LEAST_SEEDS, c
     tagged = found.where(F.regexp_like(text, F.lit("[0-9@]"))).select(key.alias("row"), F.explode(marked).alias("e")).select("row", "e.t", "e.starting", "e.touched")
     tag = F.coalesce(*[F.when(F.col("starting").bitwiseAND(1 << i) > 0, F.lit(k)) for i, k in enumerate(KINDS)], F.when(F.col("touched"), F.lit("part")))
     label = F.regexp_extract("t.token", "^([^0-9@:=]{2,40}[:=])", 1)
-    tagged = tagged.select("row", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.col("t.token").alias("token"), tag.alias("tag"), F.xxhash64("t.token").alias("instance"), F.filter(F.array(
+    tagged = tagged.select("row", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.col("t.token").alias("token"), tag.alias("tag"), F.xxhash64("t.token").alias("instance"), F.regexp_like("t.token", F.lit(ORDINARY)).alias("ordinary"), F.filter(F.array(
         F.when(F.col("t.before") != "", F.concat(F.lit("1 "), "t.before")), F.when(F.col("t.before2") != "", F.concat(F.lit("2 "), "t.before2")),
         F.when(F.col("t.after") != "", F.concat(F.lit("3 "), "t.after")), F.when(label != "", F.concat(F.lit("4 "), label)),
     ), lambda p: p.isNotNull()).alias("patterns"))
     tagged = scratch.save(tagged)
-    edges = tagged.where("tag is null or tag <> 'part'").select(F.explode("patterns").alias("pattern"), "instance", "tag").groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.count("tag").alias("seeds"))
+    edges = tagged.where("tag is null or tag <> 'part'").select(F.explode("patterns").alias("pattern"), "instance", "ordinary", "tag").groupBy("pattern", "instance", "ordinary").agg(F.count("*").alias("n"), F.count("tag").alias("seeds"))
     edges = scratch.save(edges)
     known = scratch.save(edges.where("seeds > 0").select("instance").distinct().withColumn("score", F.lit(1.0)))
     scores = known
+    score = F.coalesce("score", F.when(F.col("ordinary"), F.lit(0.0)))  # null: unknown
+    right, wrong = F.coalesce(F.sum(F.col("n") * score), F.lit(0.0)), F.coalesce(F.sum(F.col("n") * (1 - score)), F.lit(0.0))
     for _ in range(ROUNDS):
         # All patterns take part in each round: what was found in one round supports patterns without any seed in the next.
-        rated = edges.join(scores, "instance", "left").groupBy("pattern").agg(F.count_if(F.col("score") >= confident).alias("support"), F.round(F.sum(F.col("n") * F.coalesce("score", F.lit(0.0))) / F.sum("n"), 9).alias("confidence"))
-        good = scratch.save(rated.where((F.col("support") >= least_seeds) & (F.col("confidence") >= confident)).select("pattern", "confidence"))
-        doubt = edges.join(good, "pattern").select("instance", F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9))).alias("doubt"))
-        unseen = doubt.groupBy("instance").agg(F.sum("doubt").alias("doubt")).select("instance", (1 - F.exp("doubt")).alias("score"))
+        rated = edges.join(scores, "instance", "left").groupBy("pattern").agg(F.count_if(score >= confident).alias("support"), F.round((right + 0.5) / (right + wrong + 1), 9).alias("confidence"))
+        rated = scratch.save(rated.where((F.col("support") >= least_seeds) & (F.col("confidence") >= min(CARRIED, confident))).select("pattern", "confidence"))
+        doubt = F.when(F.col("confidence") >= confident, F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))).otherwise(0.0)
+        unseen = edges.where("not ordinary").join(rated, "pattern").groupBy("instance").agg(F.round(F.greatest(F.max("confidence"), 1 - F.exp(F.sum(doubt))), 9).alias("score"))
         scores = scratch.save(known.union(unseen.join(known, "instance", "left_anti")))
-    new = tagged.where(F.col("tag").isNull() & (F.char_length(F.regexp_replace("token", "[^0-9]", "")) >= LEAST_DIGITS)).select("row", "start", "end", F.explode("patterns").alias("pattern"))
+    good = rated.where(F.col("confidence") >= confident)
+    new = tagged.where("tag is null").select("row", "start", "end", F.explode("patterns").alias("pattern"))
     new = new.join(good, "pattern", "left_semi").groupBy(F.col("row").alias("__pii_of")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__pii_id"))
     new = scratch.save(new)
     out = found.withColumn("__pii_row", key).join(new, F.col("__pii_row") == F.col("__pii_of"), "left").withColumn("__pii_id", F.coalesce("__pii_id", F.array().cast(SPAN)))

@@ -121,6 +121,15 @@ def test_found_identifiers_induce_patterns_without_base_seeds(spark):
     assert found[3000] == "id:14:21" and found[2003].startswith("id:14:") and found[3001] == ""
 
 
+def test_unseen_identifiers_do_not_count_against_their_pattern(spark):
+    for many in (3, 20):
+        rows = [(i, f"please write to contact me{i}@mail.example today") for i in range(20)] + [(100 + i, f"please write to contact user7712{i}-x today") for i in range(many)] + [(200, "please write to contact bo4 today")]
+        rows += [(300 + i, f"open since me{i}@mail.example") for i in range(20)] + [(400 + i, f"open since {1950 + i}") for i in range(20)] + [(500, "open since zx99812")]
+        found = {r.doc_id: r for r in pii.digest(pii.find(spark, spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+        assert all(found[i].n_id == 1 for i in [*range(100, 100 + many), 200])
+        assert all(found[i].n_id == 0 for i in [*range(400, 420), 500])
+
+
 def test_pii_of_an_empty_table(spark):
     assert pii.digest(pii.find(spark, spark.createDataFrame([], "doc_id long, text string"))).collect() == []
 
