@@ -41,6 +41,16 @@ def test_licences(spark, small):
     assert licences.scan(docs.limit(0)).collect() == []
 
 
+def test_licences_of_several_paragraphs_and_inside_prose(spark):
+    parted = {n: re.sub(r"(\.|:) (?=[A-Z])", r"\1\n\n", t) for n, t in (("MIT", licences.MIT_TEXT), ("BSD-2-Clause", licences.BSD_TEXT), ("Apache-2.0", licences.APACHE_NOTICE), ("GPL-3.0", licences.GPL_NOTICE))}
+    prose = " ".join(f"word{i} of the" for i in range(150))
+    rows = [(i, f"{prose}\n\n{t}\n\n{prose}") for i, t in enumerate(parted.values())] + [(10, "This tool is free to use. Released under the MIT License. See the docs."), (11, f"{prose}\n\n{licences.MIT_TEXT[:300]}\n\n{prose}"), (12, "the MIT license is under discussion, released or not")]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.licence, r.units) for r in got if r.doc_id < 4} == {(i, n, 1) for i, n in enumerate(parted)}
+    assert [(r.licence, r.units, r.best_dice) for r in got if r.doc_id >= 10] == [("MIT", 1, 1.0)]
+    assert min(r.best_dice for r in got) > 0.95
+
+
 def luhn(s):
     return sum((int(c) if i % 2 == 0 else sum(divmod(int(c) * 2, 10))) for i, c in enumerate(reversed(s))) % 10 == 0
 
