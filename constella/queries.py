@@ -229,7 +229,7 @@ _add("fetch_first_last", lambda s, d: core.ranked(_table(s, d, "nation").select(
 _add("random_column", lambda s, d: files.random_column(s, 1000, "int", 7).agg(F.count("*").alias("n"), (F.min("value") >= -(2**31)).alias("ok")), "SELECT 1000 AS n, true AS ok")
 
 
-# Beyond the plan items: negation's relatives among joins and sets, top rows, event windows
+# Beyond the plan items: negation's relatives among joins and sets, top rows
 _add("join_semi", lambda s, d: _table(s, d, "customer").join(_table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 _add("join_anti", lambda s, d: _table(s, d, "customer").join(_table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 _add("join_left_outer", lambda s, d: _table(s, d, "customer").select("c_custkey").join(_table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n")), "c_custkey", "left"), "SELECT c_custkey, n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey")
