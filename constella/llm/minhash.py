@@ -5,7 +5,7 @@ values costs ``PERMS`` evaluations a shingle (Ji et al. 2013). Bands of ``ROWS``
 members are first compared with one of them, on full shingle sets; only buckets whose members still lie in several
 components go on, in blocks, to a comparison of wide signatures whose survivors are compared on full sets again.
 
-Rows with equal shingle sets are one class from the start, so copies are never paired with each other.
+Rows with equal shingle sets are one class from the start, so copies are never paired with each other; all links join classes.
 Missing pairs: at similarity 0.8 a pair shares no band with probability (1 - 0.8**4)**24 < 4e-6, and is lost by the wide
 signature with less than 1e-6; no other step drops a pair.
 """
@@ -73,7 +73,7 @@ def _sketcher(k: int):
                     one[has], two[has] = np.add.reduceat(mix(h + np.uint64(1)), first), np.add.reduceat(mix(h ^ np.uint64(0x5BD1E995)), first)
                     bands[has] = _bands(_min_max(h, at, PERMS))
                 at_bands = pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands.shape[1])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.ListArray.from_arrays(at_bands, pa.array(bands.reshape(-1).view(np.int64)))], names=["doc_id", "n", "one", "two", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("same"), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.ListArray.from_arrays(at_bands, pa.array(bands.reshape(-1).view(np.int64)))], names=["doc_id", "same", "n", "one", "two", "bands"])
 
     return sketch
 
@@ -86,7 +86,7 @@ def _setter(k: int):
                 has = np.flatnonzero(np.diff(at))
                 signature = _min_max(h, at, WIDE) if len(h) else np.zeros((0, 2 * WIDE), np.uint32)
                 wide = (mix(signature.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)
-                columns = [b.column("doc_id").take(pa.array(has)), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in ([h[at[i] : at[i + 1]] for i in has], wide, _bands(signature)))]
+                columns = [b.column("id").take(pa.array(has)), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in ([h[at[i] : at[i + 1]] for i in has], wide, _bands(signature)))]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "items", "wide", "bands"])
 
     return sets
@@ -184,19 +184,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
 
     Two documents are linked when 100 * |A & B| >= percent * |A | B| over their sets of ``k``-word shingles.
     Null or wordless texts: an empty set, linked with nothing, kept. Fewer than ``k`` words: one shingle. A null id: its row
-    stays, with a null component, kept. Repeated ids are the same document. Extra columns are ignored. Empty table: no rows.
+    stays, with a null component, kept. Rows that share an id are the same document: each keeps its own set and its own
+    links, and all of them lie in one component. Extra columns are ignored. Empty table: no rows.
     """
     scratch = Scratch(spark)
-    given = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    sketch = scratch.save(given.mapInArrow(_sketcher(k), "doc_id long, n long, one long, two long, bands array<long>"))
+    text = F.col(text_column)
+    given = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("same"), text.alias("text"))
+    sketch = scratch.save(given.mapInArrow(_sketcher(k), "doc_id long, same long, n long, one long, two long, bands array<long>"))
     full = sketch.where("n > 0 and doc_id is not null")
-    classes = scratch.save(full.groupBy("one", "two", "n").agg(F.min(F.struct("doc_id", "bands")).alias("r")).select("one", "two", "n", F.col("r.doc_id").alias("id"), F.col("r.bands").alias("bands")))
+    # A class is all rows with one set. Its number is made as the table is written, and ids may lie in several classes.
+    classes = full.groupBy("one", "two", "n").agg(F.min(F.struct("doc_id", "same", "bands")).alias("r"))
+    classes = scratch.save(classes.select("one", "two", "n", "r.*", F.monotonically_increasing_id().alias("id")))
     banded = classes.select("id", "n", F.explode("bands").alias("key"))
     buckets = scratch.save(banded.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1"))
     members = scratch.save(banded.join(buckets, "key"))
-    # Text of the candidates alone is read again; their ids are distinct, so the join splits nowhere hot.
-    wanted = scratch.save(members.select(F.col("id").alias("doc_id")).distinct())
-    sets = scratch.save(given.where("doc_id is not null").join(wanted, "doc_id", "left_semi").mapInArrow(_setter(k), "id long, items binary, wide binary, bands binary").dropDuplicates(["id"]))
+    # Text of the candidates alone is read again, one row for each class, so the join splits nowhere hot.
+    wanted = scratch.save(members.select("id").distinct().join(classes.select("id", "doc_id", "same"), "id"))
+    again = given.where("doc_id is not null").join(wanted, ["doc_id", "same"]).select("id", "text")
+    sets = scratch.save(again.mapInArrow(_setter(k), "id long, items binary, wide binary, bands binary").dropDuplicates(["id"]))
 
     x, y = (sets.select(F.col("id").alias(i), F.col("items").alias(v)) for i, v in (("a", "x"), ("b", "y")))
     stars = scratch.save(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
@@ -219,13 +224,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
     likely = scratch.save(likely)
     more = scratch.save(side_by_side(likely.join(sets, "id")).mapInArrow(_closer(percent), "a long, b long"))
     scratch.drop(open_, parts, members, buckets, sets, wanted, stars, likely)
-    final = scratch.save(components(scratch, found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
-    scratch.drop(links, more, found)
-    by_set = classes.select("one", "two", "n", "id").join(final, classes.id == final.node, "left").select("one", "two", "n", F.coalesce("component", "id").alias("component"))
-    by_set = scratch.save(by_set)
+    # Rows of one id with different sets: their classes belong together.
+    lowest, highest = (f(F.struct("one", "two", "n")) for f in (F.min, F.max))
+    repeated = scratch.save(full.groupBy("doc_id").agg(lowest.alias("lo"), highest.alias("hi")).where("lo <> hi").select("doc_id"))
+    several = full.join(repeated, "doc_id", "left_semi").select("doc_id", "one", "two", "n").distinct().join(classes.select("one", "two", "n", "id"), ["one", "two", "n"])
+    several = scratch.save(several.select("doc_id", "id"))
+    together = several.join(several.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").select("a", F.col("id").alias("b"))
+    final = scratch.save(components(scratch, found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(more).union(together)))
+    scratch.drop(links, more, found, repeated, several)
+    by_set = classes.join(final, classes.id == final.node, "left").select("one", "two", "n", "doc_id", F.coalesce("component", "id").alias("component"))
+    lowest = by_set.groupBy("component").agg(F.min("doc_id").alias("least"))
+    by_set = scratch.save(by_set.join(lowest, "component").select("one", "two", "n", "least"))
     scratch.drop(classes, final)
     own = sketch.select("doc_id", "one", "two", "n").join(by_set, ["one", "two", "n"], "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
+    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("least", "doc_id"))
     return own.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 

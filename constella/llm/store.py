@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset, as in tests, one of our own is set."""
+    """The folder named in spark.checkpoint.dir; only where that is unset in local mode, as in tests, one of our own is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -47,6 +49,11 @@ class Scratch:
                 self._fs.delete(self._path(path), True)
 
 
+def beside(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """A table of ids, broadcast when it holds at most ``most`` rows and joined by shuffle beyond that."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def _stars(edges: DataFrame) -> bool:
     """Whether each ``u`` has one ``v``, which is no ``u`` itself; edges lead from greater to smaller ids."""
     ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
