@@ -7,8 +7,9 @@ a hash table, and two vectors meet where a substring is equal. A pair at the thr
 wanted recall at the threshold itself. All vectors are indexed; met pairs count only when their cosine in double precision
 reaches the threshold.
 
-Equal vectors are one class from the start. Buckets beyond ``BLOCK`` members are dealt over pairs of blocks. First only codes
-are dealt, and rows go on that are within a wide Hamming bound of another in their bucket; only those meet the vectors. No
+Equal vectors are one class from the start. Buckets beyond ``BLOCK`` members are dealt over pairs of blocks. First only
+``SHORT`` bits of the codes are dealt, and rows go on that are within a wide Hamming bound of another in their bucket; only
+those meet the whole codes and the vectors, so a row of a table has a fixed size. No
 pair leaves a task: a task gives, for each vector, how many new links it has there and the least vector of its local
 component. A pair that meets in several tables counts in the first of them only.
 """
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ from .minhash import CLOSURE_SQL
 from .runs import fixed, runs
 from .store import Scratch, components
 
-SAMPLE, ITERATIONS, BLOCK, RECALL = 10_000, 30, 256, 0.985
+SAMPLE, ITERATIONS, BLOCK, RECALL, SHORT = 10_000, 30, 256, 0.985, 256
 
 
 def learn_rotations(x: np.ndarray, count: int, seed: int = 7) -> list[np.ndarray]:
@@ -53,30 +55,33 @@ def plan(vectors: int, dims: int, threshold: float) -> tuple[int, int]:
     return bits, max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - agree**bits)))
 
 
-def _read(column: pa.Array, dims: int | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    """Vectors as double arrays, and which of them can be linked."""
-    out, good = [], []
-    for v in column:
-        v = None if not v.is_valid else v.values
-        a = np.zeros(0) if v is None or v.null_count else v.to_numpy(zero_copy_only=False).astype(np.float64)
-        with np.errstate(over="ignore"):
-            good.append(len(a) > 0 and bool(np.isfinite(a).all()) and 0 < float(np.abs(a).max()))
-        out.append(a)
-    return out, np.array(good, dtype=bool)
+def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All components end to end, each vector scaled to length 1; offsets of the vectors; which of them can be linked."""
+    sizes = np.array(pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    of = np.concatenate([[0], np.cumsum(sizes)])
+    flat = column.flatten().cast(pa.float64())
+    values = flat.to_numpy(zero_copy_only=False).astype(np.float64)  # a null component becomes NaN
+    good = sizes > 0
+    if good.any():
+        first = of[:-1][good]
+        most = np.maximum.reduceat(np.abs(values), first)
+        good[good] = np.isfinite(most) & (most > 0)
+        scale = np.ones(len(sizes))
+        scale[sizes > 0] = np.where(np.isfinite(most) & (most > 0), most, 1)
+        values = values / np.repeat(scale, sizes)
+        length = np.ones(len(sizes))
+        length[sizes > 0] = np.sqrt(np.add.reduceat(values * values, first))
+        length[~good] = 1
+        values = values / np.repeat(length, sizes)
+    return values, of, good
 
 
 def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each vector scaled to length 1, as bytes; null where it can't be linked."""
     for b in batches:
-        vectors, good = _read(b.column("embedding"))
-        unit = []
-        for a, g in zip(vectors, good, strict=True):
-            if g:
-                a = a / np.abs(a).max()
-                unit.append((a / np.sqrt(a @ a)).tobytes())
-            else:
-                unit.append(None)
-        yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(unit, pa.binary()), pa.array([len(a) for a in vectors], pa.int32())], names=["vec_id", "unit", "dims"])
+        values, of, good = _units(b.column("embedding"))
+        unit = [values[i:j].tobytes() if g else None for i, j, g in zip(of[:-1], of[1:], good, strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(unit, pa.binary()), pa.array(np.diff(of).astype(np.int32))], names=["vec_id", "unit", "dims"])
 
 
 def _coder(rotations: list[np.ndarray], dims: int, bits: int, tables: int):
@@ -90,8 +95,8 @@ def _coder(rotations: list[np.ndarray], dims: int, bits: int, tables: int):
                 signs = np.hstack([((x @ r) >= 0)[:, : each * bits] for r in rotations])[:, : tables * bits]
                 codes, keys = np.packbits(signs, axis=1), _keys(signs, bits)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("id"), b.column("weight"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * tables), pa.array(keys.reshape(-1)))],
-                    names=["id", "weight", "codes", "list"],
+                    [b.column("id"), b.column("weight"), b.column("unit"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([c.tobytes() for c in codes[:, : SHORT // 8]], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * tables), pa.array(keys.reshape(-1)))],
+                    names=["id", "weight", "unit", "codes", "short", "list"],
                 )
 
     return code
@@ -110,8 +115,8 @@ def _sides(run: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _likely(bits: int, tables: int, threshold: float):
-    """The rows of each run whose code is near that of another row that no earlier table brings together with it."""
-    total, differ = bits * tables, math.acos(threshold) / math.pi
+    """The rows of each run whose code is near that of another row."""
+    total, differ = min(SHORT, bits * tables), math.acos(threshold) / math.pi
     most = total * differ + 9 * math.sqrt(total * differ * (1 - differ))  # bits of one pair are not independent
     width = (total + 7) // 8
 
@@ -119,7 +124,7 @@ def _likely(bits: int, tables: int, threshold: float):
         for run in runs(batches, ["table", "key", "p", "q"]):
             if run.num_rows < 2:
                 continue
-            codes = fixed(run.column("codes"), np.uint8, width)
+            codes = fixed(run.column("short"), np.uint8, width)
             left, right = _sides(run)
             keep = np.zeros(run.num_rows, dtype=bool)
             for i in left:
@@ -128,7 +133,7 @@ def _likely(bits: int, tables: int, threshold: float):
                 if len(r):
                     keep[i] = keep[r] = True
             if keep.any():
-                yield from run.filter(pa.array(keep)).combine_chunks().to_batches()
+                yield from run.drop_columns(["short"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
     return near
 
@@ -185,39 +190,41 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = 0.9
     """One row a vector: ``vec_id, n_links, component_id, kept``.
 
     Null, empty or zero vectors and those with null or non-finite components link with nothing. Vectors of different
-    lengths don't link. A null id: its row stays, without links, component null. Repeated ids: a row each, and each counts
-    as a vector. Empty table: no rows. Extra columns are ignored.
+    lengths don't link; each length is indexed by itself, so a table has few of them. A null id: its row stays, without
+    links, component null. Repeated ids: a row each, and each counts as a vector with its own links and component. Empty
+    table: no rows. Extra columns are ignored.
     """
     scratch = Scratch(spark)
     packed = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).alias("embedding")).mapInArrow(_packer, "vec_id long, unit binary, dims int")
     packed = scratch.save(packed.withColumns({"h1": F.xxhash64("unit"), "h2": F.xxhash64("unit", F.lit(1))}))
     usable = packed.where("vec_id is not null and unit is not null")
-    classes = scratch.save(usable.groupBy("dims", "unit").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("h1").alias("h1"), F.first("h2").alias("h2")))
-    none = spark.createDataFrame([], "id long, links long, least long")
-    found = none
+    # A class is all rows with one unit vector; its number is made as the table is written.
+    classes = usable.groupBy("dims", "unit").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("h1").alias("h1"), F.first("h2").alias("h2"))
+    classes = scratch.save(classes.withColumn("id", F.monotonically_increasing_id()))
+    found = spark.createDataFrame([], "id long, links long, least long")
     for dims, count in sorted((r[0], r[1]) for r in classes.groupBy("dims").count().collect()):
         own = classes.where(F.col("dims") == dims)
         bits, tables = plan(count, dims, threshold)
-        sample = own.select("unit", F.xxhash64("id").alias("o")).orderBy("o", "unit").limit(SAMPLE).select("unit").toArrow()
+        sample = own.select("unit", F.xxhash64("unit").alias("o")).orderBy("o", "unit").limit(SAMPLE).select("unit").toArrow()
         x = fixed(sample.column("unit"), np.float64, dims)
         rotations = learn_rotations(x, math.ceil(tables / max(1, dims // bits)))
-        coded = scratch.save(own.mapInArrow(_coder(rotations, dims, bits, tables), "id long, weight long, codes binary, list array<int>"))
+        coded = scratch.save(own.select("id", "weight", "unit").mapInArrow(_coder(rotations, dims, bits, tables), "id long, weight long, unit binary, codes binary, short binary, list array<int>"))
         sizes = coded.select(F.posexplode("list").alias("table", "key")).groupBy("table", "key").agg(F.count("*").alias("size")).where("size > 1")
         sizes = scratch.save(sizes.select("table", "key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
-        met = coded.select("id", "weight", "codes", F.posexplode("list").alias("table", "key")).join(sizes, ["table", "key"])
+        met = coded.select("id", "short", F.posexplode("list").alias("table", "key")).join(sizes, ["table", "key"])
         met = met.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        met = met.select("table", "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "weight", "codes")
+        met = met.select("table", "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "short")
         side_by_side = lambda df: df.repartition("table", "key", "p", "q").sortWithinPartitions("table", "key", "p", "q")
-        likely = scratch.save(side_by_side(met).mapInArrow(_likely(bits, tables, threshold), "table int, key int, p int, q int, block int, id long, weight long, codes binary"))
-        met = side_by_side(likely.join(own.select("id", "unit"), "id"))
+        likely = scratch.save(side_by_side(met).mapInArrow(_likely(bits, tables, threshold), "table int, key int, p int, q int, block int, id long"))
+        met = side_by_side(likely.join(coded.select("id", "weight", "unit", "codes"), "id"))
         found = found.union(scratch.save(met.mapInArrow(_linker(dims, bits, tables, threshold), "id long, links long, least long")))
-        scratch.drop(likely)
-        scratch.drop(coded, sizes)
+        scratch.drop(likely, coded, sizes)
     joined = scratch.save(components(scratch, found.select(F.col("id").alias("a"), F.col("least").alias("b"))))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    known = classes.join(links, "id", "left").join(joined, classes.id == joined.node, "left").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
-    known = scratch.save(known)
-    out = packed.withColumn("live", F.col("vec_id").isNotNull() & F.col("unit").isNotNull()).select("vec_id", "live", "h1", "h2").join(known, ["h1", "h2"], "left")
+    known = classes.drop("unit").join(links, "id", "left").join(joined, classes.id == joined.node, "left")
+    known = scratch.save(known.select("h1", "h2", "dims", "least", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("part")))
+    known = known.join(known.groupBy("part").agg(F.min("least").alias("component")), "part").select("h1", "h2", "dims", "n_links", "component")
+    out = packed.withColumn("live", F.col("vec_id").isNotNull() & F.col("unit").isNotNull()).select("vec_id", "live", "h1", "h2", "dims").join(known, ["h1", "h2", "dims"], "left")
     component = F.when(F.col("live"), F.col("component")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.when(F.col("live"), F.col("n_links")).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
