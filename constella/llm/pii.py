@@ -4,9 +4,10 @@ Base spans are leftmost, non-overlapping matches of four kinds. The patterns bel
 the docstring of ``base_spans`` but are possessive and start only where a match can start, so that time stays linear in the
 text.
 
-Bootstrapping: tokens that hold a digit or ``@`` are instances; their lexical patterns are the word before, the two words
-before, the word after, and a label glued to the token by ``:`` or ``=``. Seeds are the instances inside base spans. In each
-round a pattern's support is the number of different seeds and surely scored instances it stands around. Its confidence is a
+Bootstrapping: tokens that hold a digit or ``@`` are instances, without the signs around them; their lexical patterns are the
+word before, the two words before, the word after, and a label glued to the token by ``:`` or ``=``, each taken whole however
+long it is and kept by its MD5. Seeds are the instances inside base spans and those of a shape that only keys have
+(``KEYS``). In each round a pattern's support is the number of different seeds and surely scored instances it stands around. Its confidence is a
 smoothed ratio of what its scored instances explain against the rest of them and against ordinary numbers; instances not yet
 scored are unknown and count on neither side. An instance's score is the chance that at least one of its confident patterns is
 right, or the best confidence of the others, and is carried into the next round, so instances found in one round induce
@@ -34,7 +35,10 @@ PATTERNS = {
 }
 #: A text without these has no match of the kind.
 HINTS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9][ -]?[0-9][ -]?[0-9]", "phone": "\\+[0-9]"}
+#: Lower-cased shapes of access keys: long hexadecimal digests, and the public prefixes of well-known services.
+KEYS = r"^(?:(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,128}|akia[0-9a-z]{16}|gh[pousr]_[0-9a-z]{36,}|xox[abprs]-[0-9a-z-]{10,}|sk-[0-9a-z_-]{20,}|aiza[0-9a-z_-]{35}|eyj[0-9a-z_-]+\.eyj[0-9a-z_-]+\.[0-9a-z_-]+)$"
 TOKEN = r"(?<![^ \t-\r])[^ \t-\r0-9@]*+[0-9@][^ \t-\r]*+"
+LEAD, TAIL = r"^[^\p{L}\p{N}@]++", r"[^\p{L}\p{N}@]++$"  # signs around a token, which are no part of the identifier
 CONTEXT = ",token:string,before:string,before2:string,after:string"
 SPAN = "array<struct<start:int,end:int>>"
 BLOCK = 128
@@ -108,12 +112,12 @@ def _valid(kind: str, m: Column) -> Column:
 def _fields(more: str, m: Column, g: Column, r: Column | None) -> list[tuple[str, Column]]:
     if more != "context":
         return []
-    low_g, low_r = F.lower(F.right(g, F.lit(80))), F.lower(F.left(r, F.lit(80)))
+    said = lambda words: F.lower(F.regexp_replace(words, "[ \\t-\\r]++", " "))
     return [
         ("token", F.lower(m)),
-        ("before", F.regexp_extract(low_g, r"(?:^|[ \t-\r])([^ \t-\r]++)[ \t-\r]*$", 1)),
-        ("before2", F.regexp_extract(low_g, r"(?:^|[ \t-\r])([^ \t-\r]++[ \t-\r]++[^ \t-\r]++)[ \t-\r]*$", 1)),
-        ("after", F.regexp_extract(low_r, r"^[ \t-\r]*([^ \t-\r]++)", 1)),
+        ("before", said(F.regexp_extract(g, r"(?:^|[ \t-\r])([^ \t-\r]++)[ \t-\r]*+$", 1))),
+        ("before2", said(F.regexp_extract(g, r"(?:^|[ \t-\r])([^ \t-\r]++[ \t-\r]++[^ \t-\r]++)[ \t-\r]*+$", 1))),
+        ("after", said(F.regexp_extract(r, r"^[ \t-\r]*+([^ \t-\r]++)", 1))),
     ]
 
 
@@ -155,7 +159,7 @@ def _spelled(spans: Column, kind: str) -> Column:
 def find(spark: SparkSession, docs: DataFrame, least_seeds: int = LEAST_SEEDS, confident: float = CONFIDENT) -> DataFrame:
     """All columns of ``docs`` plus ``__pii_email, __pii_ip, __pii_card, __pii_phone, __pii_id``: arrays of ``(start, end)`` in code points, end exclusive.
 
-    Null text: no spans. Null and repeated ids: each row is searched for itself. Empty table: no rows.
+    ``doc_id`` and ``text`` are wanted. Null text: no spans. Null and repeated ids: each row is searched for itself. Empty table: no rows.
     """
     scratch = Scratch(spark)
     extra = [f"__pii_{k}" for k in (*KINDS, "id")]
@@ -163,39 +167,47 @@ def find(spark: SparkSession, docs: DataFrame, least_seeds: int = LEAST_SEEDS, c
     found = docs.withColumns({f"__pii_{k}": v for k, v in base_spans(text).items()})
     none = F.array().cast(f"array<struct<start:int,end:int{CONTEXT}>>")
     tokens = F.when(F.regexp_like(text, F.lit("[0-9@]")), _located(text, TOKEN, "", "context", CONTEXT)).otherwise(none)
-    key = F.xxhash64(F.col("doc_id"), text)
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), text))
     # One row for each instance, with the kind of the base span that starts in it, 'part' if one only touches it.
     marked = _marked(tokens, [F.col(f"__pii_{k}") for k in KINDS])
     tagged = found.where(F.regexp_like(text, F.lit("[0-9@]"))).select(key.alias("row"), F.explode(marked).alias("e")).select("row", "e.t", "e.starting", "e.touched")
     tag = F.coalesce(*[F.when(F.col("starting").bitwiseAND(1 << i) > 0, F.lit(k)) for i, k in enumerate(KINDS)], F.when(F.col("touched"), F.lit("part")))
-    label = F.regexp_extract("t.token", "^([^0-9@:=]{2,40}[:=])", 1)
-    tagged = tagged.select("row", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.col("t.token").alias("token"), tag.alias("tag"), F.xxhash64("t.token").alias("instance"), F.regexp_like("t.token", F.lit(ORDINARY)).alias("ordinary"), F.filter(F.array(
-        F.when(F.col("t.before") != "", F.concat(F.lit("1 "), "t.before")), F.when(F.col("t.before2") != "", F.concat(F.lit("2 "), "t.before2")),
-        F.when(F.col("t.after") != "", F.concat(F.lit("3 "), "t.after")), F.when(label != "", F.concat(F.lit("4 "), label)),
-    ), lambda p: p.isNotNull()).alias("patterns"))
+    lead = F.char_length(F.regexp_extract("t.token", LEAD, 0))
+    core = F.regexp_replace(F.regexp_replace("t.token", LEAD, ""), TAIL, "")
+    tagged = tagged.select("row", "t", tag.alias("tag"), (F.col("t.start") + lead).alias("start"), core.alias("core"))
+    label = F.regexp_extract("core", "^([^0-9@:=]{2,}[:=])", 1)
+    pattern = lambda kind, words: F.when(words != "", F.md5(F.concat(F.lit(f"{kind} "), words)))
+    patterns = F.array(pattern(1, F.col("t.before")), pattern(2, F.col("t.before2")), pattern(3, F.col("t.after")), pattern(4, label))
+    value = F.regexp_replace("core", "^[^0-9@:=]{2,}[:=][^\\p{L}\\p{N}]*+", "")
+    shape = F.when(F.col("tag").isNull() & F.regexp_like(value, F.lit(KEYS)), F.lit("key"))
+    tagged = tagged.select("row", "start", (F.col("start") + F.char_length("core")).alias("end"), F.coalesce("tag", shape).alias("tag"), F.md5("core").alias("instance"), F.regexp_like("core", F.lit(ORDINARY)).alias("ordinary"), F.filter(patterns, lambda p: p.isNotNull()).alias("patterns"))
     tagged = scratch.save(tagged)
     edges = tagged.where("tag is null or tag <> 'part'").select(F.explode("patterns").alias("pattern"), "instance", "ordinary", "tag").groupBy("pattern", "instance", "ordinary").agg(F.count("*").alias("n"), F.count("tag").alias("seeds"))
     edges = scratch.save(edges)
     known = scratch.save(edges.where("seeds > 0").select("instance").distinct().withColumn("score", F.lit(1.0)))
-    scores = known
+    scores, spent = known, []
     score = F.coalesce("score", F.when(F.col("ordinary"), F.lit(0.0)))  # null: unknown
     right, wrong = F.coalesce(F.sum(F.col("n") * score), F.lit(0.0)), F.coalesce(F.sum(F.col("n") * (1 - score)), F.lit(0.0))
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         # All patterns take part in each round: what was found in one round supports patterns without any seed in the next.
         rated = edges.join(scores, "instance", "left").groupBy("pattern").agg(F.count_if(score >= confident).alias("support"), F.round((right + 0.5) / (right + wrong + 1), 9).alias("confidence"))
         rated = scratch.save(rated.where((F.col("support") >= least_seeds) & (F.col("confidence") >= min(CARRIED, confident))).select("pattern", "confidence"))
-        doubt = F.when(F.col("confidence") >= confident, F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))).otherwise(0.0)
-        unseen = edges.where("not ordinary").join(rated, "pattern").groupBy("instance").agg(F.round(F.greatest(F.max("confidence"), 1 - F.exp(F.sum(doubt))), 9).alias("score"))
-        scores = scratch.save(known.union(unseen.join(known, "instance", "left_anti")))
+        spent += [rated, scores]
+        if turn < ROUNDS - 1:
+            doubt = F.when(F.col("confidence") >= confident, F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))).otherwise(0.0)
+            unseen = edges.where("not ordinary").join(rated, "pattern").groupBy("instance").agg(F.round(F.greatest(F.max("confidence"), 1 - F.exp(F.sum(doubt))), 9).alias("score"))
+            scores = scratch.save(known.union(unseen.join(known, "instance", "left_anti")))
     good = rated.where(F.col("confidence") >= confident)
-    new = tagged.where("tag is null").select("row", "start", "end", F.explode("patterns").alias("pattern"))
+    new = tagged.where("tag is null or tag = 'key'").select("row", "start", "end", F.explode("patterns").alias("pattern"))
     new = new.join(good, "pattern", "left_semi").groupBy(F.col("row").alias("__pii_of")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__pii_id"))
     new = scratch.save(new)
+    scratch.drop(tagged, edges, known, *spent)
     out = found.withColumn("__pii_row", key).join(new, F.col("__pii_row") == F.col("__pii_of"), "left").withColumn("__pii_id", F.coalesce("__pii_id", F.array().cast(SPAN)))
     return out.select(*[docs[c] for c in docs.columns], *extra)
 
 
 def digest(found: DataFrame) -> DataFrame:
+    """One row a document: counts of the base kinds, the digest of the base spans, all spans spelled out, and ``n_id``."""
     base = F.concat(*[_spelled(F.col(f"__pii_{k}"), k) for k in KINDS])
     return found.select(
         "doc_id",
