@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from constella.llm import contain, minhash, pieces, pii, quality
 from constella.llm.queries import PIECES
-from constella.llm.store import Scratch
+from constella.llm.store import Scratch, beside
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids, "doc_id", "left_anti")
+    return docs.join(beside(ids), "doc_id", "left_anti")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,17 +25,23 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each group linked by similarity 0.8 or more on five-word shingles.
 
-    Rows without an id stay. Of rows that repeat an id one stays.
+    Rows without an id stay. Of rows that repeat an id the least one stays, by text and then by the other columns.
     """
-    found = Scratch(spark).save(minhash.near_duplicates(spark, docs, k=5).where("doc_id is not null"))
-    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    kept = _without(docs, found.where("not kept").select("doc_id").distinct())
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null")) if repeated else kept
+    scratch = Scratch(spark)
+    found = scratch.save(minhash.near_duplicates(spark, docs, k=5).where("doc_id is not null"))
+    repeated = scratch.save(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    kept = _without(docs, scratch.save(found.where("not kept").select("doc_id").distinct()))
+    if repeated.isEmpty():
+        return kept
+    order = ["text", *[c for c in docs.columns if c != "text"]]
+    least = kept.join(beside(repeated), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*order)).alias("r"))
+    return _without(kept, repeated).unionByName(least.select("r.*"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold at least 0.8 of the five-word shingles of a benchmark item."""
-    return _without(docs, contain.contained(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct())
+    found = contain.contained(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, Scratch(spark).save(found.select("doc_id").distinct()))
 
 
 def pii_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
