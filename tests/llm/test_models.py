@@ -138,10 +138,103 @@ def test_classifier_on_held_out_labels(spark):
     assert len(got) == docs.count()
     test = [(r.quality, got[r.doc_id].accepted) for r in labels.where("doc_id % 2 = 1").collect()]
     assert sum((q == 1) == a for q, a in test) >= 0.97 * len(test)
-    model = quality.fit(spark, docs, known)
+    model = quality.fit(spark, docs, known)[0]
     assert model.handed and sum(map(sum, model.handed)) > 0  # the views did hand labels to each other
 
 
+def plain_cotraining(t, m, y, pool_t, pool_m, rounds, steps):
+    """The same in one piece: every Newton step over labelled and pseudo-labelled rows with weights."""
+    kept = np.arange(len(y)) % 4 == 0
+    one_hot = lambda p: np.hstack([np.eye(n)[p[:, j]] for j, n in enumerate((quality.SOURCES, quality.LANGUAGES, quality.LENGTHS))])
+    given, pool, views = [t.astype(float), one_hot(m)], [pool_t.astype(float), one_hot(pool_m)], []
+    sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -30, 30)))
+
+    def newton(z, y, weight, w, ridge, floor):
+        penalty = np.append(1e-6, np.full(z.shape[1] - 1, ridge))
+        if z.shape[1] == 1 + quality.SHAPES + quality.WORDS + quality.PAIRS:
+            penalty[1 + quality.SHAPES :] = ridge * quality.HASHED
+        p = sigmoid(z @ w)
+        h = (z * (weight * np.maximum(p * (1 - p), floor))[:, None]).T @ z + np.diag(penalty) + 1e-9 * np.eye(len(w))
+        move = np.linalg.solve(h, z.T @ (weight * (y - p)) - penalty * w)
+        return w + move, np.abs(move).max()
+
+    def settled(z, y, ridge, floor, turns):
+        w = np.zeros(z.shape[1])
+        for _ in range(turns):
+            w, move = newton(z, y, np.ones(len(y)), w, ridge, floor)
+            if move < 1e-6:
+                break
+        return w
+
+    def platt(x, y, ridge):
+        mean, scale = x.mean(axis=0), x.std(axis=0)
+        scale[scale < 1e-9] = 1
+        design = lambda v: np.hstack([np.ones((len(v), 1)), np.clip((v - mean) / scale, -8, 8)])
+        w = settled(design(x), y, ridge, 0, 30)
+        return lambda v: np.clip(design(v) @ w, -30, 30)
+
+    for x in given:
+        mean, scale = x[~kept].mean(axis=0), x[~kept].std(axis=0)
+        scale[scale < 1e-9] = 1
+        views.append(lambda v, mean=mean, scale=scale: np.hstack([np.ones((len(v), 1)), np.clip((v - mean) / scale, -8, 8)]))
+    w = [settled(d(x[~kept]), y[~kept], 1.0, quality.FLOOR, 100) for d, x in zip(views, given, strict=True)]
+    margin = lambda v, x, w: np.clip(views[v](x) @ w, -30, 30)[:, None]
+    scales = [platt(margin(v, given[v][kept], w[v]), y[kept], 1e-3) for v in (0, 1)]
+
+    def least(p, right):
+        best = 2.0
+        for c in sorted(p[p >= quality.CONFIDENT], reverse=True):
+            if (right[p >= c].sum() + 0.5) / ((p >= c).sum() + 1) >= quality.CONFIDENT:
+                best = c
+        return best
+
+    for _ in range(rounds):
+        p = [sigmoid(scales[v](margin(v, pool[v], w[v]))) for v in (0, 1)]
+        aside = [sigmoid(scales[v](margin(v, given[v][kept], w[v]))) for v in (0, 1)]
+        lows, highs = [1 - least(1 - a, y[kept] == 0) for a in aside], [least(a, y[kept] == 1) for a in aside]
+        for _ in range(steps):
+            for v in (0, 1):
+                sure = [np.flatnonzero(p[1 - v] <= lows[1 - v]), np.flatnonzero(p[1 - v] >= highs[1 - v])]
+                share = min((~kept).sum(), sum(map(len, sure)))
+                weight = [min(1, share * part / max(len(s), 1)) for s, part in zip(sure, (1 - y.mean(), y.mean()), strict=True)]
+                z = np.vstack([views[v](given[v][~kept]), *[views[v](pool[v][s]) for s in sure]])
+                label = np.concatenate([y[~kept], *[np.full(len(s), c) for s, c in zip(sure, (0.0, 1.0), strict=True)]])
+                w[v], _ = newton(z, label, np.concatenate([np.ones((~kept).sum()), *[np.full(len(s), x) for s, x in zip(sure, weight, strict=True)]]), w[v], 1.0, quality.FLOOR)
+        scales = [platt(margin(v, given[v][kept], w[v]), y[kept], 1e-3) for v in (0, 1)]
+    both = lambda part: np.stack([scales[v](margin(v, part[v], w[v])) for v in (0, 1)], axis=1)
+    mixed = platt(both([x[kept] for x in given]), y[kept], 1e-2)
+    return lambda t, m: sigmoid(mixed(both([t.astype(float), one_hot(m)])))
+
+
+def test_classifier_equals_plain_cotraining(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "source", "lang", "n_chars")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    table = docs.toArrow().to_batches()
+    t, m = (np.concatenate(x) for x in zip(*[quality._views(b) for b in table], strict=True))
+    ids, texts = [r.doc_id for r in docs.collect()], [r.text or "" for r in docs.collect()]
+    known = sorted([i for i in ids if labels.get(i) in (0, 1)], key=lambda i: (zlib.crc32(str(i).encode()), i))
+    at = {i: n for n, i in enumerate(ids)}
+    first = {}
+    for n, i in enumerate(ids):
+        if i not in labels:
+            first.setdefault(texts[n], []).append(n)
+    free = [min(ns, key=lambda n: (t[n].tobytes(), m[n].tobytes())) for ns in first.values()]
+    mine = [at[i] for i in known]
+    score = plain_cotraining(t[mine], m[mine], np.array([float(labels[i]) for i in known]), t[free], m[free], quality.ROUNDS, quality.STEPS)
+    want = dict(zip(ids, score(t, m), strict=True))
+    got = {r.doc_id: r.score for r in quality.classify(spark, docs, spark.read.parquet(f"{small}/labels.parquet")).collect()}
+    assert max(abs(got[i] - want[i]) for i in ids) < 1e-6
+
+
+def test_a_labelled_id_on_many_rows_gives_one_row_to_the_fit(spark):
+    rows = [(1, f"word{i} text", "en", "s", i) for i in range(3000)] + [(2 + i, f"good text number {i}", "en", "s", 20) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({"same": __import__("pyspark.sql.functions", fromlist=["lit"]).lit(1), "t": __import__("pyspark.sql.functions", fromlist=["lit"]).lit(2)})
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 30)], "doc_id long, quality int")
+    assert len(quality.fit(spark, docs, labels)[0].views[0].y) < 29
+    assert quality.classify(spark, docs, labels).count() == len(rows)
+    assert quality.accepted(spark, docs, labels).columns == docs.columns
+
+
 def test_classifier_edge_cases(spark):
     rows = [(1, None, None, None, None), (None, "", "en", "s", 0), (2, "x " * 50_000, "en", "s", 5), (2, "x", "en", "s", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
