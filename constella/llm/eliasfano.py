@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import mmap
 import os
-import shutil
+import sys
 import uuid
 
 import numpy as np
@@ -108,19 +110,25 @@ class EliasFano:
         return cls(n, width, arrays[f"{name}.low"], arrays[f"{name}.high"], arrays[f"{name}.zeros"])
 
 
-def write(folder: str, arrays: dict[str, np.ndarray]) -> None:
-    """A folder with a file for each array; it appears whole or not at all, and a second try leaves the first."""
-    part = f"{folder}.{uuid.uuid4().hex}"
-    os.makedirs(part)
+def write(path: str, arrays: dict[str, np.ndarray]) -> None:
+    """One file for all arrays: the length of a description, the description, the arrays. It appears whole or not at all."""
+    at, places = 0, {}
     for name, a in arrays.items():
-        np.save(f"{part}/{name}.npy", a)
-    try:
-        os.rename(part, folder)
-    except OSError:
-        shutil.rmtree(part, ignore_errors=True)
-        if not os.path.isdir(folder):
-            raise
-
-
-def mapped(folder: str) -> dict[str, np.ndarray]:
-    return {f[:-4]: np.load(f"{folder}/{f}", mmap_mode="r").view(np.ndarray) for f in os.listdir(folder)}
+        places[name] = [a.dtype.str, at, len(a)]
+        at += -(-a.nbytes // 64) * 64
+    head = json.dumps(places).encode()
+    head += b" " * (-(8 + len(head)) % 64)
+    part = f"{path}.{uuid.uuid4().hex}"
+    with open(part, "wb") as f:
+        f.write(len(head).to_bytes(8, "little") + head)
+        for a in arrays.values():
+            f.write(np.ascontiguousarray(a).tobytes() + bytes(-a.nbytes % 64))
+    os.replace(part, path)  # a second try writes the same
+
+
+def mapped(path: str) -> dict[str, np.ndarray]:
+    """The arrays of a file, mapped; the map needs no open file and ends with the last array."""
+    with open(path, "rb") as f:
+        m = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **({"trackfd": False} if sys.version_info >= (3, 13) else {}))
+    first = 8 + (size := int.from_bytes(m[:8], "little"))
+    return {name: np.frombuffer(m, dtype, n, first + at) if n else np.zeros(0, dtype) for name, (dtype, at, n) in json.loads(m[8 : 8 + size]).items()}

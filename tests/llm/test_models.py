@@ -3,9 +3,11 @@
 import collections
 import hashlib
 import math
+import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -27,47 +29,87 @@ def test_elias_fano():
     assert (EliasFano.build(v, 50).at(np.arange(200)) == v).all()
 
 
-def brute_scores(rows):
-    train, pairs = collections.Counter(), collections.defaultdict(collections.Counter)
+def brute_scores(rows, order):
+    train, pairs, triples = collections.Counter(), collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
     texts = [((x or "").encode().lower().split() + ["end"], zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1) for i, x in rows]
     for w, held in texts:
         if not held:
             train.update(w)
             for a, b in zip(["start", *w[:-1]], w, strict=True):
                 pairs[a][b] += 1
+            for a, b, c in zip(["start", *w[:-2]], w[:-1], w[1:], strict=False):
+                triples[a, b][c] += 1
     n, v = sum(train.values()), len(train)
     p1 = lambda w: (train[w] + 0.5) / (n + 0.5 * (v + 1))
 
-    def p2(a, b):
-        h = pairs.get(a)
+    def backed(h, w, shorter):
         if not h:
-            return p1(b)
+            return shorter
         c = sum(h.values())
-        return max(h[b] - lm.DISCOUNT, 0) / c + lm.DISCOUNT * len(h) / c * p1(b)
+        return max(h[w] - lm.DISCOUNT, 0) / c + lm.DISCOUNT * len(h) / c * shorter
 
-    return [(held, len(w), sum(train[x] > 0 for x in w), n, sum(math.log10(p1(x)) for x in w), sum(math.log10(p2(a, b)) for a, b in zip(["start", *w[:-1]], w, strict=True))) for w, held in texts]
+    out = []
+    for w, held in texts:
+        score = 0
+        for t, x in enumerate(w):
+            p = backed(pairs.get(w[t - 1] if t else "start"), x, p1(x))
+            if t and order > 2:
+                p = backed(triples.get((w[t - 2] if t > 1 else "start", w[t - 1])), x, p)
+            score += math.log10(p)
+        out.append((held, len(w), sum(train[x] > 0 for x in w), n, sum(math.log10(p1(x)) for x in w), score))
+    return out
 
 
-def check_scores(spark, rows):
+def check_scores(found, rows, order):
     got = collections.defaultdict(list)
-    for r in lm.lm_scores(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect():
-        got[r.doc_id].append(r)
-    for (i, _), (held, n, known, total, base, score) in zip(rows, brute_scores(rows), strict=True):
-        r = next(r for r in got[i] if r.n_tokens == n)
-        assert (r.held_out, r.n_known, r.train_tokens) == (held, known, total)
-        assert r.base_score == pytest.approx(base, abs=1e-6 * n) and r.score == pytest.approx(score, abs=2e-4 * n)
+    for r in found:
+        got[r["doc_id"]].append(r)
+    for (i, _), (held, n, known, total, base, score) in zip(rows, brute_scores(rows, order), strict=True):
+        r = next(r for r in got[i] if r["n_tokens"] == n)
+        assert (r["held_out"], r["n_known"], r["train_tokens"]) == (held, known, total)
+        assert r["base_score"] == pytest.approx(base, abs=1e-6 * n) and r["score"] == pytest.approx(score, abs=2e-4 * n)
 
 
-def test_lm_scores(spark, small, monkeypatch):
+def test_lm_scores(spark, small):
+    rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(9001, None), (9002, ""), (None, "The the THE"), (9003, "the " * 30_000), (9004, "one unheard-of word"), (9004, "one unheard-of word twice")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"shard": __import__("pyspark.sql.functions", fromlist=["lit"]).lit(1), "hash": __import__("pyspark.sql.functions", fromlist=["lit"]).lit(2)})
+    held = {}
+    for order in (2, 3):
+        got = [r.asDict() for r in lm.lm_scores(spark, docs, order=order).collect()]
+        assert len(got) == len(rows)
+        check_scores(got, rows, order)
+        held[order] = sum(r["score"] for r in got if r["held_out"])
+        base = sum(r["base_score"] for r in got if r["held_out"])
+    assert held[3] > held[2] > base
+
+
+def test_lm_of_many_shards_keeps_few_files_open(spark, small, monkeypatch):
+    import resource
+
+    monkeypatch.setattr(lm, "LEAST_SHARDS", 2000)
+    monkeypatch.setattr(lm, "OPEN", 20)
+    monkeypatch.setattr(lm, "MOST_TASKS", 8)
     rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
-    check_scores(spark, rows + [(9001, None), (9002, ""), (None, "The the THE"), (9003, "the " * 30_000)])
-    held = [r for r in lm.lm_scores(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
+    model = lm.train(spark, spark.createDataFrame([(t,) for (_, t), h in zip(rows, held, strict=True) if not h], "text string"))
+    assert model.shards == 2000
+    batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "held_out": held, "text": [t for _, t in rows]})
+    limits = resource.getrlimit(resource.RLIMIT_NOFILE)
+    open_now = len(os.listdir("/proc/self/fd"))
+    resource.setrlimit(resource.RLIMIT_NOFILE, (open_now + 12, limits[1]))
+    try:
+        out = [r for b in lm._scorer(model)(iter([batch])) for r in b.to_pylist()]
+        maps = open("/proc/self/maps").read().count("/pairs-")
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, limits)
+    check_scores(out, rows, 3)
+    assert maps <= 21
 
 
 def test_lm_without_training_texts(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
-    check_scores(spark, [(held, "a b")])
+    check_scores([r.asDict() for r in lm.lm_scores(spark, spark.createDataFrame([(held, "a b")], "doc_id long, text string")).collect()], [(held, "a b")], 3)
     assert lm.lm_scores(spark, spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
