@@ -5,7 +5,8 @@ segmentation is the product of its pieces' weights over the sum of all segmentat
 up to each position, and the backward pass draws pieces from the end.
 
 A space is written as the mark of the piece model. No piece has the mark after another character, so the lattice of a text
-parts into the units between. Both passes run over all units of a few texts at once, position by position. The number that
+parts into the units between. Both passes run over all units of a few texts, or of a part of a long one, at once, position by
+position; a unit longer than a part holds its lattice for a window at a time, so memory grows with a text by its pieces alone. The number that
 decides at a position depends on the seed, the row's key and the position in the text alone: the same row gives the same
 pieces wherever it runs.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 from .tokens import once
 from .words import mix, slices
 
-THETA, SEED, SHORT, PART = 0.5, 1, 64, 200_000
+THETA, SEED, SHORT, PART, WINDOW = 0.5, 1, 64, 200_000, 20_000
+_HEAD = re.compile("(?<! ) ")
 _END = "\U0010ffff"  # parts the texts of a batch; in a text it is a character outside the pieces, like in any position
 _CHAR_BITS, _TABLE_BITS = 13, 20
 _BYTES = -2
@@ -134,20 +137,36 @@ class Pieces:
         return weight, ids
 
     def encode(self, texts: list[str], keys: list[int], seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts end to end, and the offsets of the texts in them."""
-        out, counts, at = [], [], 0
-        while at < len(texts):
-            to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) < PART):
-                size += len(texts[to]) + 1
-                to += 1
-            ids, n = self._encode(texts[at:to], keys[at:to], seed)
-            out.append(ids)
-            counts.append(n)
-            at = to
-        return np.concatenate([*out, np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum(np.concatenate([*counts, np.zeros(0, np.int64)]))]).astype(np.int64)
+        """The ids of all texts end to end, and the offsets of the texts in them. Long texts are cut at heads of units."""
+        out, counts, held, size = [], np.zeros(len(texts), dtype=np.int64), [], 0
 
-    def _encode(self, texts: list[str], keys: list[int], seed: int) -> tuple[np.ndarray, np.ndarray]:
+        def flush() -> None:
+            ids, n = self._encode([texts[i][a:b] for i, a, b in held], [keys[i] for i, _, _ in held], seed, [a for _, a, _ in held])
+            out.append(ids)
+            np.add.at(counts, [i for i, _, _ in held], n)
+            held.clear()
+
+        for i, text in enumerate(texts):
+            for a, b in _parts(text):
+                if b - a > PART:  # one unit
+                    if held:
+                        flush()
+                        size = 0
+                    ids = self._unit(text[a:b], keys[i], seed, a)
+                    out.append(ids)
+                    counts[i] += len(ids)
+                    continue
+                if held and size + b - a > PART:
+                    flush()
+                    size = 0
+                held.append((i, a, b))
+                size += b - a + 1
+        if held:
+            flush()
+        return np.concatenate([*out, np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+
+    def _encode(self, texts: list[str], keys: list[int], seed: int, shifts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for parts of texts that begin at ``shifts``."""
         code = np.frombuffer((_END.join(texts) + _END).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
         lengths = np.array([len(t) for t in texts], dtype=np.int64)
         begin = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]).astype(np.int64)
@@ -166,7 +185,8 @@ class Pieces:
         end = np.minimum(np.append(start[1:], n), (begin + lengths)[of_text])
         weight, ids = self._lattice(code)
         with np.errstate(over="ignore"):
-            base = mix(np.array(keys, dtype=np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+            base = _base(keys, seed)
+        zero = begin - np.array(shifts, dtype=np.int64)  # where each text would begin
         # forward: ways into each position, and out of it; at the head of a unit the latter is 1
         ways, go = np.zeros(n + 1), np.zeros(n + 1)
         go[start] = 1.0
@@ -187,7 +207,7 @@ class Pieces:
         fine = short[ways[end[short]] > 1e-250]
         e, low, text = end[fine], start[fine], of_text[fine]
         while len(e):
-            u = _uniform(base[text], e - begin[text])
+            u = _uniform(base[text], e - zero[text])
             rest, chosen, last = u * ways[e], np.zeros(len(e), dtype=np.int64), np.zeros(len(e), dtype=np.int64)
             open_ = np.arange(len(e))
             for length in range(1, self.longest + 1):
@@ -207,7 +227,12 @@ class Pieces:
             e, low, text = e[more], low[more], text[more]
         rare = np.setdiff1d(np.arange(len(start)), fine, assume_unique=True)
         for i in rare:
-            self._long(picked, weight, ids, int(start[i]), int(end[i]), base[of_text[i]], int(begin[of_text[i]]))
+            a, b = int(start[i]), int(end[i])
+            self._long(picked[a:b], code[a:b], base[of_text[i]], a - int(zero[of_text[i]]))
+        return self._spelled(picked, code, np.append(begin, n))
+
+    def _spelled(self, picked: np.ndarray, code: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the picked pieces, characters outside them as bytes, and how many lie between the bounds."""
         at = np.flatnonzero(picked != -1)
         piece = picked[at]
         many = np.ones(len(at), dtype=np.int64)
@@ -216,30 +241,53 @@ class Pieces:
         out = np.repeat(piece, many)
         out[np.repeat(raw, many)] = self.byte_ids[np.frombuffer("".join(map(chr, code[at[raw]])).encode(), dtype=np.uint8)]
         total = np.concatenate([[0], np.cumsum(many)])
-        cut = total[np.searchsorted(at, np.append(begin, n))]
+        cut = total[np.searchsorted(at, bounds)]
         return out, np.diff(cut)
 
-    def _long(self, picked: np.ndarray, weight: np.ndarray, ids: np.ndarray, start: int, end: int, base: np.uint64, begin: int) -> None:
-        """The same for one unit, in logarithms."""
-        n = end - start
-        columns = weight[:, start : end + 1].T.tolist()
-        total = [0.0] * (n + 1)
-        for j in range(1, n + 1):
-            ways = [total[j - k] + math.log(w) for k, w in enumerate(columns[j][: j + 1]) if w > 0]
-            top = max(ways)
-            total[j] = top + math.log(sum([math.exp(x - top) for x in ways]))
-        draws = _uniform(np.full(n + 1, base), np.arange(start, end + 1) - begin).tolist()
+    def _unit(self, unit: str, key: int, seed: int, shift: int) -> np.ndarray:
+        """The ids of one unit of any length."""
+        code = np.frombuffer(unit.encode("utf-32-le"), dtype=np.uint32)
+        picked = np.full(len(code), -1, dtype=np.int32)
+        self._long(picked, code, _base([key], seed)[0], shift)
+        return np.concatenate([self._spelled(picked[a : a + PART], code[a : a + PART].astype(np.int64), np.array([0, PART]))[0] for a in range(0, len(code), PART)])
+
+    def _window(self, code: np.ndarray, a: int, b: int) -> tuple[list[list[float]], list[list[int]]]:
+        """For each end position from ``a`` to ``b - 1`` the weights and ids of the pieces that end there, by length."""
+        first = max(0, a - self.longest)
+        weight, ids = self._lattice(code[first : b - 1].astype(np.int64))
+        return weight[:, a - first :].T.tolist(), ids[:, a - first :].T.tolist()
+
+    def _long(self, picked: np.ndarray, code: np.ndarray, base: np.uint64, shift: int) -> None:
+        """Picks the pieces of one unit, in logarithms; the lattice is held for a window of positions at a time."""
+        n = len(code)
+        total = np.zeros(n + 1)
+        recent = [0.0]  # the totals of the last positions
+        for a in range(1, n + 1, WINDOW):
+            b = min(a + WINDOW, n + 1)
+            made = []
+            for column in self._window(code, a, b)[0]:
+                ways = [recent[-k] + math.log(w) for k, w in enumerate(column[: len(recent) + 1]) if w > 0]
+                top = max(ways)
+                recent.append(top + math.log(sum([math.exp(x - top) for x in ways])))
+                made.append(recent[-1])
+                if len(recent) > 4 * self.longest:
+                    del recent[: -self.longest]
+            total[a:b] = made
         j = n
-        while j:
-            rest, chosen = draws[j], 0
-            for k, w in enumerate(columns[j][: j + 1]):
-                if w > 0:
-                    chosen = k
-                    rest -= math.exp(total[j - k] + math.log(w) - total[j])
-                    if rest < 0:
-                        break
-            picked[start + j - chosen] = ids[chosen, start + j]
-            j -= chosen
+        for a in range((n - 1) // WINDOW * WINDOW + 1, 0, -WINDOW):
+            b = min(a + WINDOW, n + 1)
+            weights, ids = self._window(code, a, b)
+            draws = _uniform(np.full(b - a, base), np.arange(a, b) + shift).tolist()
+            while j >= a:
+                rest, chosen = draws[j - a], 0
+                for k, w in enumerate(weights[j - a][: j + 1]):
+                    if w > 0:
+                        chosen = k
+                        rest -= math.exp(total[j - k] + math.log(w) - total[j])
+                        if rest < 0:
+                            break
+                picked[j - chosen] = ids[j - a][chosen]
+                j -= chosen
 
     def forward(self, unit: str) -> tuple[list[list[tuple[int, int, float]]], float]:
         """For each end position the pieces as ``(start, id, weight)``, and the logarithm of the sum over all segmentations."""
@@ -251,10 +299,40 @@ class Pieces:
             total[j] = sum(total[i] * w for i, _, w in into[j])
         return into, math.log(total[-1])
 
+    def decodes_to(self, ids: np.ndarray, text: str) -> bool:
+        """Whether the pieces spell the text, compared part by part."""
+        whole, at = text.encode(), 0
+        for i in range(0, len(ids), PART):
+            part = b"".join(map(self.bytes.__getitem__, ids[i : i + PART].tolist()))
+            if not whole.startswith(part, at):
+                return False
+            at += len(part)
+        return at == len(whole)
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode()
 
 
+def _parts(text: str) -> Iterator[tuple[int, int]]:
+    """Cuts a text at heads of units into parts of about ``PART`` characters; a longer part is one unit."""
+    at = 0
+    while len(text) - at > PART:
+        cut = text.rfind(" ", at + 1, at + PART)
+        while cut > at and text[cut - 1] == " ":
+            cut -= 1
+        if cut <= at:
+            head = _HEAD.search(text, at + 1)
+            cut = head.start() if head else len(text)
+        yield at, cut
+        at = cut
+    if at < len(text) or not text:
+        yield at, len(text)
+
+
+def _base(keys: list[int], seed: int) -> np.ndarray:
+    return mix(np.array(keys, dtype=np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+
+
 def _width(code: np.ndarray) -> np.ndarray:
     """Bytes of each character in UTF-8."""
     return 1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)
@@ -274,7 +352,7 @@ def _encoder(path: str, theta: float, seed: int, digest: bool, others: list[str]
                 count = pa.array(np.diff(at))
                 if digest:
                     sums = [hashlib.sha256(ids[i:j].tobytes()).hexdigest() for i, j in zip(at[:-1], at[1:], strict=True)]
-                    same = [pieces.decode(ids[i:j].tolist()) == t for i, j, t in zip(at[:-1], at[1:], texts, strict=True)]
+                    same = [pieces.decodes_to(ids[i:j], t) for i, j, t in zip(at[:-1], at[1:], texts, strict=True)]
                     more = [count, pa.array(sums, pa.string()), pa.array(same, pa.bool_())]
                 else:
                     more = [count, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))]
@@ -310,4 +388,5 @@ def decoder(model_path: str):
 
 
 def decoded(encoded: DataFrame, model_path: str) -> DataFrame:
+    """``doc_id, text`` of rows of ``doc_id, pieces``; null pieces give the empty text."""
     return encoded.select("doc_id", "pieces").mapInArrow(decoder(model_path), "doc_id long, text string")

@@ -128,6 +128,39 @@ def test_pieces_round_trip_and_do_not_depend_on_the_batch(vocabulary):
         assert (vocabulary.encode([text], [k])[0] == ids[a:b]).all()
 
 
+def test_long_texts_in_parts_give_the_same_pieces(vocabulary, monkeypatch):
+    texts = [*HARD, "one two  three   " * 40, "x" * 500 + " y" * 200, "   " * 100 + "a b", "é" * 130 + " " + "日本語テキスト" * 60, ""]
+    keys = list(range(len(texts)))
+    whole = vocabulary.encode(texts, keys)
+    for part, window in ((30, 7), (100, 16), (1, 50)):
+        monkeypatch.setattr(pieces, "PART", part)
+        monkeypatch.setattr(pieces, "WINDOW", window)
+        ids, at = vocabulary.encode(texts, keys)
+        assert (at == whole[1]).all() and (ids == whole[0]).all()
+        assert all(vocabulary.decodes_to(ids[a:b], t) for a, b, t in zip(at[:-1], at[1:], texts, strict=True))
+        assert not vocabulary.decodes_to(ids[:5], "no") and not vocabulary.decodes_to(ids[:0], "no")
+
+
+def test_memory_of_very_long_texts(vocabulary):
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+sys.path.insert(0, {root!r})
+from constella.llm import pieces
+v = pieces.Pieces({path!r})
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for text in ("some words of a long text " * 800_000, "unbroken" * 40_000):
+    ids, at = v.encode([text], [1])
+    assert v.decodes_to(ids, text)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    out = subprocess.run([sys.executable, "-c", code.format(root=root, path=PIECES)], capture_output=True, text=True, check=True, timeout=600).stdout
+    assert int(out) < 500
+
+
 @pytest.mark.parametrize("unit", [" theth", "theée", " inerent"])
 def test_pieces_are_drawn_by_their_probability(vocabulary, unit):
     into, total = vocabulary.forward(unit)
