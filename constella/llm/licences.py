@@ -6,6 +6,11 @@ whole text, which find licences of several paragraphs and notices inside a line
 count before bigrams are made, and again for each template. Any match holds ``t / (2 - t) * b`` of the template's bigrams, so
 texts with fewer of them are pruned first; in the others, windows start where a bigram of the template is followed by enough
 more of them, have lengths in steps over the template's range, and end at such a bigram. Nothing is shuffled.
+
+For each template some words are named such that fewer bigrams than any match needs are without all of them. Texts without any
+of these words are left out before their words are split; no match is lost.
+
+A unit counts for the licence that matches it best, and a passage only where no better one of another licence overlaps it.
 """
 
 from __future__ import annotations
@@ -43,6 +48,27 @@ CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
 PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR
 TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE
 POSSIBILITY OF SUCH DAMAGE."""
+BSD_NAMES = """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission."""
+UNLICENSE_TEXT = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this
+software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit
+of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED
+"AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE
+USE OR OTHER DEALINGS IN THE SOFTWARE."""
+ZLIB_TEXT = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any
+purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use
+this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered
+source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice
+may not be removed or altered from any source distribution."""
+MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
 APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
 with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by
 applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
@@ -53,6 +79,12 @@ License as published by the Free Software Foundation, either version 3 of the Li
 This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty
 of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have
 received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
+LGPL_NOTICE = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
+Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later
+version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.
+You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free
+Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"""
 TEMPLATES: list[tuple[str, str]] = [
     ("MIT", MIT_TEXT),
     ("MIT", "Released under the MIT License."),
@@ -61,12 +93,23 @@ TEMPLATES: list[tuple[str, str]] = [
     ("ISC", ISC_TEXT),
     ("ISC", "Licensed under the ISC License."),
     ("BSD-2-Clause", BSD_TEXT),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", BSD_TEXT.replace("THIS\nSOFTWARE", BSD_NAMES + " THIS\nSOFTWARE")),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("Unlicense", UNLICENSE_TEXT),
+    ("Zlib", ZLIB_TEXT),
+    ("MPL-2.0", MPL_NOTICE),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
+    ("LGPL-2.1", LGPL_NOTICE),
+    ("AGPL-3.0", GPL_NOTICE.replace("GNU General Public", "GNU Affero General Public")),
+    ("GPL-2.0", GPL_NOTICE.replace("version 3", "version 2")),
     ("Apache-2.0", APACHE_NOTICE),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0", GPL_NOTICE),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "Licensed under the GNU General Public License, version 3."),
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
@@ -75,6 +118,7 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 
 PERCENT, STEPS = 80, 6
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def bigrams(text: str) -> set[str]:
@@ -89,7 +133,21 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _words(unit: Column) -> Column:
-    return F.filter(F.split(F.lower(unit), "[^a-z0-9]+"), lambda w: w != "")
+    return F.filter(F.split(_low(unit), "[^a-z0-9]+"), lambda w: w != "")
+
+
+def _low(text: Column) -> Column:
+    return F.translate(text, UPPER, UPPER.lower())
+
+
+def telling(template: set[str], low: int) -> list[str]:
+    """Words, long ones first, without which fewer than ``low`` of the template's bigrams are left."""
+    left, out = set(template), []
+    words = sorted({w for b in template for w in b.split()}, key=lambda w: (-len(w), w))
+    while len(left) >= low:
+        out.append(words.pop(0))
+        left = {b for b in left if out[-1] not in b.split()}
+    return out
 
 
 def _units(text: Column) -> Column:
@@ -100,14 +158,15 @@ def _units(text: Column) -> Column:
 
 
 def _passage(b: Column, template: list[str], length: int, low: int, high: int) -> Column:
-    """The best coefficient of a window of the bigrams ``b``, null without a window that could match."""
+    """The best window of the bigrams ``b``: its coefficient, first and last bigram; null without a window that could match."""
     lengths = sorted({length, *(low + (high - low) * j // STEPS for j in range(STEPS + 1))})
 
     def dice(at: Column, k: Column, most: int) -> Column:
         first = F.get(at, k)
         last = F.array_max(F.filter(F.slice(at, k + 1, most), lambda i: i < first + most))
         window = F.array_distinct(F.slice(b, first + 1, last - first + 1))
-        return let(window, lambda a: F.lit(2) * F.size(F.array_intersect(a, F.array(*[F.lit(x) for x in template]))) / (F.size(a) + len(template)))
+        value = let(window, lambda a: F.lit(2) * F.size(F.array_intersect(a, F.array(*[F.lit(x) for x in template]))) / (F.size(a) + len(template)))
+        return F.struct(value.alias("dice"), first.alias("first"), last.alias("last"))
 
     def best(at: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(at) - low), lambda k: F.get(at, k + (low - 1)) - F.get(at, k) < lengths[-1])
@@ -120,16 +179,27 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, percen
     """Rows ``doc_id, licence, units, best_dice``: how many units of the document match the licence, and the best coefficient.
 
     A unit matches a template when 100 * 2 * |A & B| >= percent * (|A| + |B|) over their sets of word bigrams; normalised: only
-    runs of a-z and 0-9 count, A-Z lower-cased. Equal units of one text count once. Null or empty texts and units below two words
-    match nothing. A licence found only in a passage counts as one unit. Null and repeated ids: each row is scanned for itself. Empty table: no rows.
+    runs of a-z and 0-9 count, A-Z lower-cased. It counts for the licence of the best coefficient, for each of several with
+    the same. Equal units of one text count once. Null or empty texts and units below two words match nothing. A licence
+    found only in a passage counts as one unit. Null and repeated ids: each row is scanned for itself and the rows of one id
+    are added up. Other columns are ignored. Empty table: no rows.
     """
     known = [(name, sorted(bigrams(t))) for name, t in (templates or TEMPLATES)]
     bounds = [(-(-percent * len(b) // (200 - percent)), (200 - percent) * len(b) // percent) for _, b in known]
     low, high = min(lo for lo, _ in bounds), max(hi for _, hi in bounds)
     # Without repeats a unit has a bigram less than words; repeats only make the set smaller, so the lower bound holds for words too.
-    text = F.coalesce(F.col("text"), F.lit(""))
     every = F.array(*[F.lit(x) for x in sorted({x for _, b in known for x in b})])
-    lengths = [max(len(re.findall("[a-z0-9]+", t.lower())) - 1, 1) for _, t in (templates or TEMPLATES)]
+    lengths = [max(len(re.findall("[a-z0-9]+", t.translate({c: c + 32 for c in range(65, 91)}))) - 1, 1) for _, t in (templates or TEMPLATES)]
+    # the fewest words that tell all templates, each in a scan of the bytes
+    needed: list[str] = []
+    for (_, b), (lo, _) in zip(known, bounds, strict=True):
+        if not {x for x in b if set(x.split()).isdisjoint(needed)} or len([x for x in b if set(x.split()).isdisjoint(needed)]) < lo:
+            continue
+        needed += [w for w in telling(set(b), lo) if w not in needed]
+    told = F.lit(False)
+    for word in sorted(needed, key=len):
+        told = told | F.contains(F.col("low"), F.lit(word))
+    given = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("low", _low(F.col("text"))).where(told).select("doc_id", "text")
 
     def held(w: Column) -> Column:
         """All bigrams in order, and which templates enough of them are in."""
@@ -138,13 +208,20 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, percen
         both = lambda b: F.struct(b.alias("b"), let(F.array_intersect(b, every), lambda c: F.when(F.size(c) >= low, enough(c))).alias("near"))
         return F.when(F.size(w) > low, let(more, both))
 
-    near = docs.select("doc_id", text.alias("text"), F.explode(F.filter(F.transform(F.array(_words(text)), held), lambda s: F.exists(s["near"], lambda x: x))).alias("s"))
-    passages = [
-        F.struct(F.lit(name).alias("licence"), F.when(F.get("s.near", F.lit(i)), _passage(F.col("s.b"), b, n, lo, max(lo, n * (200 - percent) // percent))).alias("dice"))
+    near = given.select("doc_id", "text", F.explode(F.filter(F.transform(F.array(_words(F.col("text"))), held), lambda s: F.exists(s["near"], lambda x: x))).alias("s"))
+    found = F.array(*[
+        F.struct(F.lit(name).alias("licence"), F.when(F.get("s.near", F.lit(i)), _passage(F.col("s.b"), b, n, lo, max(lo, n * (200 - percent) // percent))).alias("w"))
         for i, ((name, b), (lo, _), n) in enumerate(zip(known, bounds, lengths, strict=True))
-    ]
+    ])
+
+    def unbeaten(ps: Column) -> Column:
+        overlap = lambda p, q: (q["w"]["first"] <= p["w"]["last"]) & (p["w"]["first"] <= q["w"]["last"])
+        kept = F.filter(ps, lambda p: ~F.exists(ps, lambda q: (q["licence"] != p["licence"]) & (q["w"]["dice"] > p["w"]["dice"]) & overlap(p, q)))
+        return F.transform(kept, lambda p: F.struct(p["licence"].alias("licence"), p["w"]["dice"].alias("dice")))
+
+    passages = let(F.filter(found, lambda p: p["w"]["dice"] * 100 >= percent), unbeaten)
     # one row for the passages, with a null unit, and one for each unit
-    unit = near.select("doc_id", F.when(F.size("s.near") > 0, F.array(*passages)).alias("passages"), "text").select("doc_id", "passages", F.explode(F.concat(F.array(F.lit(None).cast("string")), _units(F.col("text")))).alias("unit"))
+    unit = near.select("doc_id", passages.alias("passages"), "text").select("doc_id", "passages", F.explode(F.concat(F.array(F.lit(None).cast("string")), _units(F.col("text")))).alias("unit"))
     unit = unit.where(F.col("unit").isNull() | (F.char_length("unit") >= 2 * low))
 
     def pairs(w: Column) -> Column:
@@ -157,6 +234,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, percen
         both = F.size(F.array_intersect("a", F.array(*[F.lit(x) for x in b])))
         dice = F.when(F.size("a").between(lo, hi), 2 * both / (F.size("a") + len(b)))
         hits.append(F.struct(F.lit(name).alias("licence"), dice.alias("dice")))
-    matched = sets.select("doc_id", "inside", F.explode(F.filter(F.when(F.col("inside"), F.col("passages")).otherwise(F.array(*hits)), lambda h: h["dice"] * 100 >= percent)).alias("h"))
+    best_of = lambda hs: F.filter(hs, lambda h: h["dice"] == F.array_max(F.transform(hs, lambda x: x["dice"])))
+    # what a unit shares with any template decides whether it is held against each of them
+    shares = F.size(F.array_intersect("a", every)) >= low
+    matching = F.when(F.col("inside"), F.col("passages")).when(shares, let(F.filter(F.array(*hits), lambda h: h["dice"] * 100 >= percent), best_of))
+    matched = sets.select("doc_id", "inside", F.explode(F.array_distinct(matching)).alias("h"))
     best = matched.groupBy("doc_id", "h.licence").agg(F.greatest(F.count_if(~F.col("inside")), F.lit(1)).cast("long").alias("units"), F.max("h.dice").alias("best_dice"))
     return best.select("doc_id", "licence", "units", "best_dice")

@@ -23,24 +23,76 @@ def units(text):
     return set(re.split("\r?\n", text)) | {p for p in re.split("\r?\n[ \t]*\r?\n\\s*", text) if "\n" in p} | {text}
 
 
+def plain_words(text):
+    return re.findall("[a-z0-9]+", text.translate({c: c + 32 for c in range(65, 91)}))
+
+
+def passage(b, template, n, low, high):
+    """The best window of a text's bigrams for a template: (dice, first, last)."""
+    at = [i for i, x in enumerate(b) if x in template]
+    lengths = sorted({n, *(low + (high - low) * j // licences.STEPS for j in range(licences.STEPS + 1))})
+    out = []
+    for k in range(len(at) - low + 1):
+        if at[k + low - 1] - at[k] < lengths[-1]:
+            for most in lengths:
+                last = max(i for i in at[k : k + most] if i < at[k] + most)
+                a = set(b[at[k] : last + 1])
+                out.append((2 * len(a & template) / (len(a) + len(template)), at[k], last))
+    return max(out, default=None)
+
+
 def licence_hits(rows):
-    known, out = [(n, licences.bigrams(t)) for n, t in licences.TEMPLATES], collections.Counter()
+    """Units and best coefficient of each document and licence, in plain Python."""
+    known = [(n, licences.bigrams(t), max(len(plain_words(t)) - 1, 1)) for n, t in licences.TEMPLATES]
+    count, best = collections.Counter(), {}
     for i, text in rows:
+        w = plain_words(text or "")
+        b, inside = [f"{x} {y}" for x, y in zip(w[:-1], w[1:], strict=True)], []
+        for n, t, length in known:
+            low = -(-80 * len(t) // 120)
+            if len(set(b) & t) >= low and (p := passage(b, t, length, low, max(low, length * 120 // 80))) and p[0] >= 0.8:
+                inside.append((n, *p))
+        hits = [(n, d, 0) for n, d, f, e in inside if not any(m != n and x > d and g <= e and f <= h for m, x, g, h in inside)]
         for u in units(text or ""):
             a = licences.bigrams(u)
-            out.update((i, n) for n in {n for n, b in known if a and 200 * len(a & b) >= 80 * (len(a) + len(b))})
-    return out
+            dice = [(2 * len(a & t) / (len(a) + len(t)), n) for n, t, _ in known if a and 200 * len(a & t) >= 80 * (len(a) + len(t))]
+            hits += [(n, d, 1) for d, n in set(dice) if d == max(dice)[0]]
+        for n, d, one in hits:
+            count[i, n] += one
+            best[i, n] = max(d, best.get((i, n), 0))
+    return {k: (max(count[k], 1), pytest.approx(best[k])) for k in best}
 
 
 def test_licences(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
     rows = [tuple(r) for r in docs.collect()] + [(9001, f"x\n\n{licences.MIT_TEXT}\n\ny"), (9002, licences.GPL_NOTICE.replace("hope", "trust")), (9003, None), (9004, ""), (9005, "a " * 3000), (9006, "released UNDER the mit license")]
-    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {(r.doc_id, r.licence): r.units for r in got.collect()} == licence_hits(rows)
-    assert licence_hits(rows)[9001, "MIT"] and licence_hits(rows)[9002, "GPL-3.0"]
+    rows += [(9010 + n, f"Copyright me\n\n{t}\n\nmore text") for n, (_, t) in enumerate(licences.TEMPLATES)] + [(9100, "MIT \u212aind. Released under the MIT License. Licensed under CC BY 4.0. end"), (9003, "Released under the MIT License.\nx"), (9003, "a")]
+    rng = random.Random(4)
+    for n in range(60):  # texts with pieces of templates, changed and in noise
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            w = rng.choice(licences.TEMPLATES)[1].split(" ")
+            a = rng.randint(0, len(w) // 5)
+            w = [x if rng.random() > 0.06 else "changed" for x in w[a : len(w) - rng.randint(0, len(w) // 6)]]
+            parts += [" ".join(w), rng.choice(["\n", "\n\n", " "]), " ".join(f"n{rng.randint(0, 50)}" for _ in range(rng.randint(0, 30))), rng.choice(["\n", " "])]
+        rows.append((9200 + n, "".join(parts)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS low", "2 AS unit", "3 AS s")
+    got = licences.scan(frame).collect()
+    assert {(r.doc_id, r.licence): (r.units, r.best_dice) for r in got} == licence_hits(rows)
+    assert {r.licence for r in got if 9010 <= r.doc_id < 9100} == {n for n, _ in licences.TEMPLATES}
+    assert {r.licence for r in got if r.doc_id == 9100} == {"MIT", "CC-BY-4.0"}
+    assert [r.licence for r in got if r.doc_id == 9010 + [n for n, (x, _) in enumerate(licences.TEMPLATES) if x == "BSD-3-Clause"][0]] == ["BSD-3-Clause"]
     assert licences.scan(docs.limit(0)).collect() == []
 
 
+def test_words_that_tell_a_template_lose_no_match():
+    for _, t in licences.TEMPLATES:
+        b = licences.bigrams(t)
+        low = -(-80 * len(b) // 120)
+        words = licences.telling(b, low)
+        assert len([x for x in b if set(x.split()).isdisjoint(words)]) < low
+
+
 def test_licences_of_several_paragraphs_and_inside_prose(spark):
     parted = {n: re.sub(r"(\.|:) (?=[A-Z])", r"\1\n\n", t) for n, t in (("MIT", licences.MIT_TEXT), ("BSD-2-Clause", licences.BSD_TEXT), ("Apache-2.0", licences.APACHE_NOTICE), ("GPL-3.0", licences.GPL_NOTICE))}
     prose = " ".join(f"word{i} of the" for i in range(150))
