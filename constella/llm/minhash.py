@@ -2,8 +2,9 @@
 
 Each permutation gives two signature values, the least and the greatest permuted shingle, so a signature of ``2 * PERMS``
 values costs ``PERMS`` evaluations a shingle (Ji et al. 2013). Bands of ``ROWS`` values make buckets. In every bucket all
-members are first compared with one of them, on full shingle sets; only buckets whose members still lie in several
-components go on, in blocks, to a comparison of wide signatures whose survivors are compared on full sets again.
+members are first compared with one of them, the one that shares buckets with most others, on full shingle sets; only buckets whose members still lie in several
+components go on, in blocks, to a comparison of wide signatures whose survivors are compared on full sets again. There the
+members outside the first one's component meet all others; those inside meet none of their own.
 
 Rows with equal shingle sets are one class from the start, so copies are never paired with each other; all links join classes.
 Missing pairs: at similarity 0.8 a pair shares no band with probability (1 - 0.8**4)**24 < 4e-6, and is lost by the wide
@@ -196,34 +197,41 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
     classes = full.groupBy("one", "two", "n").agg(F.min(F.struct("doc_id", "same", "bands")).alias("r"))
     classes = scratch.save(classes.select("one", "two", "n", "r.*", F.monotonically_increasing_id().alias("id")))
     banded = classes.select("id", "n", F.explode("bands").alias("key"))
-    buckets = scratch.save(banded.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1"))
+    buckets = scratch.save(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     members = scratch.save(banded.join(buckets, "key"))
+    # The member that meets most others stands nearest to the middle of its bucket, so most of the bucket hangs on it.
+    met = members.groupBy("id").agg(F.sum("size").alias("met"))
+    middle = F.max(F.struct("met", F.negate("id").alias("last"))).alias("m")
+    pivots = scratch.save(members.join(met, "id").groupBy("key").agg(middle).select("key", F.negate("m.last").alias("pivot")))
     # Text of the candidates alone is read again, one row for each class, so the join splits nowhere hot.
     wanted = scratch.save(members.select("id").distinct().join(classes.select("id", "doc_id", "same"), "id"))
     again = given.where("doc_id is not null").join(wanted, ["doc_id", "same"]).select("id", "text")
     sets = scratch.save(again.mapInArrow(_setter(k), "id long, items binary, wide binary, bands binary").dropDuplicates(["id"]))
 
     x, y = (sets.select(F.col("id").alias(i), F.col("items").alias(v)) for i, v in (("a", "x"), ("b", "y")))
-    stars = scratch.save(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
+    stars = scratch.save(members.join(pivots, "key").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
     links = scratch.save(stars.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_linker(percent), "a long, b long"))
     found = scratch.save(components(scratch, links))
     open_ = members.join(found, members.id == found.node, "left").select("key", "id", "n", "size", F.coalesce("component", "id").alias("component"))
-    open_ = scratch.save(open_)
-    parts = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    parts = scratch.save(parts)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    # Members of the pivot's component need no comparison with each other, only with those outside it.
+    inside = pivots.join(found, pivots.pivot == found.node, "left").select("key", F.coalesce("component", "pivot").alias("main"))
+    outside = F.col("component") != F.col("main")
+    open_ = scratch.save(open_.join(inside, "key").select("key", "id", "n", "size", "component", outside.alias("outside")))
+    parts = scratch.save(open_.groupBy("key").agg(F.count_if("outside").alias("outer")).where("outer > 0"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     dealt = (
-        open_.join(parts, "key", "left_semi")
-        .withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        open_.join(parts, "key")
+        .withColumn("apart", blocks(F.col("outer")))
+        .withColumn("rest", blocks(F.col("size") - F.col("outer")))
+        .withColumn("block", F.when(F.col("outside"), F.pmod(F.xxhash64("id"), "apart")).otherwise(F.col("apart") + F.pmod(F.xxhash64("id"), "rest")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("apart") - 1 + F.when(F.col("outside"), F.col("rest")).otherwise(0))))
         .select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "n", "component", "block")
     )
     side_by_side = lambda df: df.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
     likely = side_by_side(dealt.join(sets.select("id", "wide", "bands"), "id")).mapInArrow(_open(percent), "key long, p int, q int, id long, n long, component long, block int")
     likely = scratch.save(likely)
     more = scratch.save(side_by_side(likely.join(sets, "id")).mapInArrow(_closer(percent), "a long, b long"))
-    scratch.drop(open_, parts, members, buckets, sets, wanted, stars, likely)
+    scratch.drop(open_, parts, members, buckets, pivots, sets, wanted, stars, likely)
     # Rows of one id with different sets: their classes belong together.
     lowest, highest = (f(F.struct("one", "two", "n")) for f in (F.min, F.max))
     repeated = scratch.save(full.groupBy("doc_id").agg(lowest.alias("lo"), highest.alias("hi")).where("lo <> hi").select("doc_id"))
