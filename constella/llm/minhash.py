@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .runs import fixed, runs
-from .store import Scratch, components
+from .store import Scratch, beside, components
 from .words import mix, shingle_hashes, slices, word_hashes
 
 PERMS, ROWS = 48, 4
@@ -205,7 +205,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 4, percent: i
     pivots = scratch.save(members.join(met, "id").groupBy("key").agg(middle).select("key", F.negate("m.last").alias("pivot")))
     # Text of the candidates alone is read again, one row for each class, so the join splits nowhere hot.
     wanted = scratch.save(members.select("id").distinct().join(classes.select("id", "doc_id", "same"), "id"))
-    again = given.where("doc_id is not null").join(wanted, ["doc_id", "same"]).select("id", "text")
+    again = given.where("doc_id is not null").join(beside(wanted), ["doc_id", "same"]).select("id", "text")
     sets = scratch.save(again.mapInArrow(_setter(k), "id long, items binary, wide binary, bands binary").dropDuplicates(["id"]))
 
     x, y = (sets.select(F.col("id").alias(i), F.col("items").alias(v)) for i, v in (("a", "x"), ("b", "y")))
