@@ -31,8 +31,9 @@ class Profile:
     least_share: float = 0.20
 
 
-#: The far tier is a Parquet scan with the joins of a view, the near tier the Spark cache.
-SPARK = Profile(far_bandwidth=0.2, far_latency=1e6, near_bandwidth=2.0, near_latency=1e5, setup=2e7, chunk=1 << 20)
+#: The far tier is a Parquet scan with the joins of a view, the near tier the Spark cache. Bandwidths and the setup of a column
+#: are medians for eight columns of 600,000 lines on local[8]: scan 0.51 s, scan into the cache 1.28 s, cache 0.07 s.
+SPARK = Profile(far_bandwidth=0.075, far_latency=1e6, near_bandwidth=0.58, near_latency=1e5, setup=9.5e7, chunk=1 << 20)
 
 
 @dataclass(frozen=True)

@@ -1,8 +1,8 @@
 """Runs plans one by one or in groups that share cached columns.
 
 Plans that arrive inside a window make a batch. In ``grouped`` mode a batch is parted by overlap of base columns, the cost
-model picks shared columns, and those of a table are kept as one projection in the Spark cache while the group's plans run
-side by side. In ``naive`` mode each plan reads its tables itself. Results are the same.
+model picks shared columns, and those of a table are kept as one projection in the Spark cache; all groups run side by side. In ``naive`` mode each plan reads its tables itself. Results are
+the same.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ class EngineConfig:
     least_accesses: int = 2
     concurrent: int = 8
     profile: Profile = field(default_factory=Profile)
-    #: Cache only when the shared columns of a group are at most so many bytes in the scans.
+    #: Bytes of projections that a batch may cache; tables come in order of their chosen columns' savings.
     cache_limit: int = 8 << 30
 
 
@@ -80,13 +80,13 @@ class Engine:
         self.spark.sparkContext.cancelJobsWithTag(tag)
 
     def sizes(self, plans: Sequence[Plan]) -> dict[str, int]:
-        """Bytes of each base column from the optimiser's statistics of its scan."""
+        """Bytes of each base column: rows of its table times the usual width of its type."""
         for p in plans:
             for c in p.base_columns():
                 if c not in self._sizes:
                     table, column = c.split(".")
-                    df = self.star.table(table, [column])
-                    self._sizes[c] = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+                    width = self.star.table(table, [column])._jdf.schema().defaultSize()
+                    self._sizes[c] = max(1, self.star.rows(table) * width)
         return self._sizes
 
     def analyse(self, plans: Sequence[Plan]) -> tuple[list[Group], list[Decision]]:
@@ -98,34 +98,38 @@ class Engine:
         if self.config.mode == "naive":
             return self._run_all([(p, self.star.resolver(p), None) for p in plans])
         groups, decisions = self.analyse(plans)
-        out: dict[int, PlanResult] = {}
-        for g, group in enumerate(groups):
-            out |= self._run_group(g, group, plans, [d for d in decisions if d.group == g and d.selected])
-        return [out[i] for i in range(len(plans))]
-
-    def _run_group(self, number: int, group: Group, plans: Sequence[Plan], hot: list[Decision]) -> dict[int, PlanResult]:
-        kept: dict[str, DataFrame] = {}
-        by_table: dict[str, set[str]] = {}
-        if sum(d.size for d in hot) <= self.config.cache_limit:
-            for d in hot:
-                table, column = d.column.split(".")
-                by_table.setdefault(table, set()).add(column)
+        work: list[tuple[Plan, Callable[[str], DataFrame], int | None]] = [(p, self.star.resolver(p), None) for p in plans]
+        room, copies = self.config.cache_limit, []
         try:
-            for table, columns in by_table.items():
-                # a plan that needs another column of the table reads the table itself, so the copy takes in all its readers
-                readers = [i for i in group.members if any(c.startswith(f"{table}.") for c in plans[i].base_columns())]
-                columns |= {c.split(".")[1] for i in readers for c in plans[i].base_columns() if c.startswith(f"{table}.")}
-                kept[table] = self.star.table(table, columns).persist(StorageLevel.MEMORY_AND_DISK)
-
-            def resolver(plan: Plan) -> Callable[[str], DataFrame]:
-                plain = self.star.resolver(plan)
-                return lambda table: kept[table] if table in kept else plain(table)
-
-            results = self._run_all([(plans[i], resolver(plans[i]), number) for i in group.members])
+            for g, group in enumerate(groups):
+                kept, room = self._copies(group, plans, [d for d in decisions if d.group == g and d.selected], room)
+                copies += kept.values()
+                for i in group.members:
+                    work[i] = (plans[i], self._near(kept, work[i][1]), g)
+            return self._run_all(work)
         finally:
-            for df in kept.values():
+            for df in copies:
                 df.unpersist()
-        return dict(zip(group.members, results, strict=True))
+
+    @staticmethod
+    def _near(kept: dict[str, DataFrame], plain: Callable[[str], DataFrame]) -> Callable[[str], DataFrame]:
+        return lambda table: kept[table] if table in kept else plain(table)
+
+    def _copies(self, group: Group, plans: Sequence[Plan], hot: list[Decision], room: int) -> tuple[dict[str, DataFrame], int]:
+        """The cached projections of a group, and the bytes still free."""
+        kept: dict[str, DataFrame] = {}
+        saving: dict[str, float] = {}
+        for d in hot:
+            table = d.column.split(".")[0]
+            saving[table] = saving.get(table, 0.0) + d.estimate.saving
+        for table in sorted(saving, key=lambda t: (-saving[t], t)):
+            # a plan that needs another column of the table reads the table itself, so the copy takes in all its readers
+            columns = {c for i in group.members for c in plans[i].base_columns() if c.startswith(f"{table}.")}
+            size = sum(self._sizes[c] for c in columns)
+            if size <= room:
+                room -= size
+                kept[table] = self.star.table(table, [c.split(".")[1] for c in columns]).persist(StorageLevel.MEMORY_AND_DISK)
+        return kept, room
 
     def _run_all(self, work: list[tuple[Plan, Callable[[str], DataFrame], int | None]]) -> list[PlanResult]:
         return list(self._pool.map(lambda w: self._run_one(*w), work))

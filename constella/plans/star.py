@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from constella.plans.ir import Builder, Plan
 
@@ -24,7 +25,22 @@ class Star:
     """``table(name, columns)``: lineorder, date, part, supplier or customer."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
+        self.spark, self.folder = spark, folder
+        self._schemas: dict[str, StructType] = {}
+        self._rows: dict[str, int] = {}
+
+    def read(self, name: str) -> DataFrame:
+        """A table's scan; the schema is taken from the files once."""
+        path = f"{self.folder}/{name}.parquet"
+        if name not in self._schemas:
+            self._schemas[name] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._schemas[name]).parquet(path)
+
+    def rows(self, name: str) -> int:
+        """Rows of a view, counted once: its joins look up one row each, so Parquet footers tell all but the days."""
+        if name not in self._rows:
+            self._rows[name] = (self._date(None) if name == "date" else self.read("lineitem" if name == "lineorder" else name)).count()
+        return self._rows[name]
 
     def table(self, name: str, columns: Iterable[str] | None = None) -> DataFrame:
         wanted = set(columns) if columns is not None else None

@@ -34,6 +34,27 @@ def test_grouped_equals_naive_and_leaves_no_cache(spark, engine):
     assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
 
 
+def test_sizes_are_rows_times_widths(spark, engine):
+    e = engine()
+    sizes = e.sizes([star.QUERIES["q_4_1"](1)])
+    lines = e.star.read("lineitem").count()
+    assert sizes["lineorder.lo_custkey"] == sizes["lineorder.lo_supplycost"] == 8 * lines
+    assert sizes["date.d_datekey"] == 4 * e.star.table("date", ["d_datekey"]).count()
+
+
+def test_copies_stay_within_the_limit(spark, engine):
+    plans = [star.QUERIES[q](i) for i, q in enumerate(["q_1_1", "q_4_1"] * 4)]
+    for limit in (0, 1 << 40):
+        e = engine(cache_limit=limit)
+        groups, decisions = e.analyse(plans)
+        made = [e._copies(g, plans, [d for d in decisions if d.group == n and d.selected], limit) for n, g in enumerate(groups)]
+        assert any(kept for kept, _ in made) == (limit > 0)
+        assert all(0 <= room <= limit for _, room in made)
+        for kept, _ in made:
+            for df in kept.values():
+                df.unpersist()
+
+
 def test_a_group_reads_the_cache(spark, engine):
     e = engine()
     seen = []
