@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from constella.multiquery.costmodel import Decision, Profile, decide
 from constella.multiquery.grouping import Group, group_plans
-from constella.plans.ir import Plan
-from constella.plans.lower import lower
+from constella.plans.ir import Item, Plan
+from constella.plans.lower import Items, lower
 from constella.plans.star import Star
 from constella.plans.validate import require
 
@@ -38,6 +38,10 @@ class EngineConfig:
     cache_limit: int = 8 << 30
 
 
+class Cancelled(Exception):
+    """The plan was cancelled before or while it ran."""
+
+
 @dataclass
 class PlanResult:
     plan: Plan
@@ -60,24 +64,63 @@ class Engine:
         self._sizes = dict(sizes or {})
         self._pool = ThreadPoolExecutor(max_workers=config.concurrent)
         self.batcher = Batcher(self._seal, config.window_ms)
-        self._cancelled: set[str] = set()
+        self._lock = threading.Lock()
+        self._status: dict[int, str] = {}
+        self._mark = uuid.uuid4().hex
+        self.items = Items(star.table)
 
     def close(self) -> None:
         self.batcher.flush()
         self._pool.shutdown(wait=True)
 
     def configure(self, **changes: Any) -> None:
-        """Changes options; the open window is run under the old ones first."""
+        """Changes options; the open window is run under the old ones first. ``concurrent`` resizes the pool."""
         self.batcher.flush()
         self.config = replace(self.config, **changes)
         self.batcher.window_ms = self.config.window_ms
+        if "concurrent" in changes:
+            before, self._pool = self._pool, ThreadPoolExecutor(max_workers=self.config.concurrent)
+            before.shutdown(wait=True)
+
+    def reset(self) -> None:
+        """Forgets sizes, schemas, the items run so far and the state of ended plans; the open window is run first."""
+        self.batcher.flush()
+        self._sizes.clear()
+        self.star = Star(self.spark, self.star.folder)
+        self.items = Items(self.star.table)
+        with self._lock:
+            self._status = {p: s for p, s in self._status.items() if s in ("waiting", "running")}
+
+    def run_item(self, item: Item) -> Any:
+        """Runs one item on what earlier ones made: the rows of a result, the ends of a column for a fetch, else None."""
+        made = self.items.run(item)
+        return made.collect() if isinstance(made, DataFrame) else made
 
     def submit(self, plan: Plan) -> Future:
         require(plan)
+        self._set(plan.id, "waiting")
         return self.batcher.add(plan)
 
-    def cancel(self, tag: str) -> None:
-        self.spark.sparkContext.cancelJobsWithTag(tag)
+    def status(self, plan_id: int) -> str:
+        """``unknown``, ``waiting``, ``running``, ``done``, ``failed`` or ``cancelled``; of plans with one id, the last to change."""
+        with self._lock:
+            return self._status.get(plan_id, "unknown")
+
+    def cancel(self, plan_id: int) -> bool:
+        """Stops the jobs of a plan, or keeps a waiting one from starting; False when there is nothing to stop."""
+        with self._lock:
+            if self._status.get(plan_id) not in ("waiting", "running"):
+                return False
+            self._status[plan_id] = "cancelled"
+        self.spark.sparkContext.cancelJobsWithTag(self._tag(plan_id))
+        return True
+
+    def _tag(self, plan_id: int) -> str:
+        return f"constella-{self._mark}-{plan_id}"
+
+    def _set(self, plan_id: int, state: str) -> None:
+        with self._lock:
+            self._status[plan_id] = state
 
     def sizes(self, plans: Sequence[Plan]) -> dict[str, int]:
         """Bytes of each base column: rows of its table times the usual width of its type."""
@@ -95,6 +138,11 @@ class Engine:
         return groups, decide(groups, plans, self.sizes(plans), profile)
 
     def run(self, plans: Sequence[Plan]) -> list[PlanResult]:
+        for p in plans:
+            self._set(p.id, "waiting")
+        return self._run(plans)
+
+    def _run(self, plans: Sequence[Plan]) -> list[PlanResult]:
         if self.config.mode == "naive":
             return self._run_all([(p, self.star.resolver(p), None) for p in plans])
         groups, decisions = self.analyse(plans)
@@ -135,16 +183,28 @@ class Engine:
         return list(self._pool.map(lambda w: self._run_one(*w), work))
 
     def _run_one(self, plan: Plan, resolve: Callable[[str], DataFrame], group: int | None) -> PlanResult:
-        started, rows, error = time.time(), None, None
+        started, rows, error, context = time.time(), None, None, self.spark.sparkContext
+        context.addJobTag(self._tag(plan.id))
         try:
+            with self._lock:
+                if self._status.get(plan.id) == "cancelled":
+                    raise Cancelled(f"plan {plan.id}")
+                self._status[plan.id] = "running"
             rows = lower(plan, resolve).collect()  # a report: its size is bounded by the groups of its keys
         except Exception as e:  # handed to the caller with the result
             error = e
+        finally:
+            context.removeJobTag(self._tag(plan.id))
+        with self._lock:
+            if self._status.get(plan.id) != "cancelled":
+                self._status[plan.id] = "failed" if error else "done"
+            elif error is not None and not isinstance(error, Cancelled):
+                error = Cancelled(f"plan {plan.id}")
         return PlanResult(plan, rows, error, started, time.time(), group)
 
     def _seal(self, batch: list[tuple[Plan, Future]]) -> None:
         try:
-            for (_, future), result in zip(batch, self.run([p for p, _ in batch]), strict=True):
+            for (_, future), result in zip(batch, self._run([p for p, _ in batch]), strict=True):
                 future.set_result(result)
         except Exception as e:
             for _, future in batch:

@@ -185,7 +185,8 @@ class Lowering:
             if kinds[0] != kinds[1] or isinstance(kinds[0], T.FractionalType):
                 raise UnsupportedOperation(f"item {item.id}: join of {kinds[0].simpleString()} with {kinds[1].simpleString()}")
             if self.first_match:
-                a = a.withColumn("__key", ka).dropDuplicates(["__key"]).drop("__key")
+                # one row a key, the least by its columns in order, whatever the order of tasks; combined before the shuffle
+                a = a.groupBy(ka.alias("__key")).agg(F.min(F.struct(*a.columns)).alias("__row")).select("__row.*")
             return b.join(a, ka == kb)
 
         j = Frame(build, tables=inner.frame.tables | outer.frame.tables)
@@ -229,7 +230,7 @@ class Lowering:
 
 
 def lower(plan: ir.Plan, resolve: Resolver, first_match: bool = False) -> DataFrame:
-    """The result of the plan; ``resolve`` gives the frame of a base table. ``first_match``: of inner rows with equal keys one joins."""
+    """The result of the plan; ``resolve`` gives the frame of a base table. ``first_match``: of inner rows with equal keys the least joins."""
     require(plan)
     state = Lowering(resolve, first_match)
     for item in topological(plan):
@@ -240,14 +241,38 @@ def lower(plan: ir.Plan, resolve: Resolver, first_match: bool = False) -> DataFr
     raise UnsupportedOperation("the plan has no result")
 
 
+class Items:
+    """Items run one by one, each on what those before it made; ``reset`` forgets all of it."""
+
+    def __init__(self, resolve: Resolver):
+        self.resolve = resolve
+        self.reset()
+
+    def reset(self) -> None:
+        self.state = Lowering(self.resolve)
+
+    def run(self, item: ir.Item) -> DataFrame | tuple[list[Any], list[Any]] | None:
+        """A frame for a result, the ends of a column for a fetch; other items only declare what the next ones read."""
+        if isinstance(item, ir.Result):
+            return self.state.result(item)
+        if isinstance(item, ir.Fetch):
+            return ends_of(self.state, item, 5)
+        self.state.step(item)
+        return None
+
+
+def ends_of(state: Lowering, item: ir.Fetch, ends: int) -> tuple[list[Any], list[Any]]:
+    d = state.data(item.input)
+    values = d.frame.df.select(d.frame.column(d.expr).alias("v"))
+    return [r.v for r in values.head(ends)], [r.v for r in values.tail(ends)]
+
+
 def fetch(plan: ir.Plan, resolve: Resolver, ends: int = 5) -> dict[int, tuple[list[Any], list[Any]]]:
     """For each fetch item, the first and last values of its column."""
     state, out = Lowering(resolve), {}
     for item in topological(plan):
         if isinstance(item, ir.Fetch):
-            d = state.data(item.input)
-            values = d.frame.df.select(d.frame.column(d.expr).alias("v"))
-            out[item.id] = ([r.v for r in values.head(ends)], [r.v for r in values.tail(ends)])
+            out[item.id] = ends_of(state, item, ends)
         elif not isinstance(item, ir.Result):
             state.step(item)
     return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -237,6 +238,45 @@ _add("set_except", lambda s, d: _table(s, d, "lineitem").select("l_suppkey").exc
 _add("limit_topk", lambda s, d: _table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "o_custkey").limit(10), "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 10")
 
 
+_add("set_union_all", lambda s, d: _table(s, d, "customer").select(F.col("c_nationkey").alias("k")).unionAll(_table(s, d, "supplier").select(F.col("s_nationkey").alias("k"))).groupBy("k").agg(F.count("*").alias("n")), "SELECT k, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY k")
+_add("join_full_outer", lambda s, d: _table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.count("*").alias("n")).where("k % 2 = 0").join(_table(s, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("k"), "s_nationkey"), "k", "full"), "SELECT coalesce(l_suppkey, s_suppkey) AS k, n, s_nationkey FROM (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY l_suppkey) FULL JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON l_suppkey = s_suppkey")
+_add("join_multi_key", lambda s, d: _table(s, d, "customer").select(F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 5).alias("part")).join(_table(s, d, "supplier").select(F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 5).alias("part")), ["nation", "part"]).groupBy("nation", "part").agg(F.count("*").alias("n")), "SELECT c_nationkey AS nation, c_custkey % 5 AS part, count(*) AS n FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_custkey % 5 = s_suppkey % 5 GROUP BY ALL")
+_add("join_range", lambda s, d: core.in_range(_table(s, d, "orders").select("o_orderkey"), _table(s, d, "customer").select((F.col("c_custkey") * 7).alias("low"), (F.col("c_custkey") * 7 + F.col("c_nationkey")).alias("high"), "c_nationkey"), "o_orderkey", "low", "high", 16).groupBy("c_nationkey").agg(F.count("*").alias("n")), "SELECT c_nationkey, count(*) AS n FROM orders JOIN customer ON o_orderkey BETWEEN c_custkey * 7 AND c_custkey * 7 + c_nationkey GROUP BY c_nationkey")
+_add("join_as_of", lambda s, d: core.as_of(_table(s, d, "events").where("event_type = 'click'").select("event_id", "user_id", "ts"), _table(s, d, "events").where("event_type = 'view'").select("user_id", "ts", F.col("value").alias("viewed")), ["user_id"], "ts", "viewed").select("event_id", "viewed"), "SELECT c.event_id, v.viewed FROM (SELECT * FROM events WHERE event_type = 'click') AS c ASOF LEFT JOIN (SELECT user_id, ts, max(value) AS viewed FROM events WHERE event_type = 'view' GROUP BY user_id, ts) AS v ON c.user_id = v.user_id AND c.ts >= v.ts")
+_add("group_rollup", lambda s, d: core.rolled_up(_table(s, d, "lineitem"), ["l_returnflag", "l_linenumber"], n=("count", "l_suppkey")), "SELECT l_returnflag, l_linenumber, grouping_id(l_returnflag, l_linenumber) AS level, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linenumber)")
+_add("group_cube", lambda s, d: core.cubed(_table(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], v=("sum", "l_partkey")), "SELECT l_returnflag, l_linestatus, grouping_id(l_returnflag, l_linestatus) AS level, CAST(sum(l_partkey) AS BIGINT) AS v FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+_add("group_sets", lambda s, d: core.grouping_sets(_table(s, d, "lineitem"), [["l_returnflag"], ["l_linenumber"], []], ["l_returnflag", "l_linenumber"], n=("count", "l_suppkey")), "SELECT l_returnflag, l_linenumber, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linenumber), ())")
+_add("group_having", lambda s, d: core.grouped(_table(s, d, "orders"), ["o_custkey"], n=("count", "o_custkey")).where("n >= 12"), "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) >= 12")
+_add("group_distinct", lambda s, d: _table(s, d, "lineitem").groupBy("l_linenumber").agg(F.count_distinct("l_suppkey").alias("suppliers"), F.count_distinct("l_partkey").alias("parts")), "SELECT l_linenumber, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_linenumber")
+_add("sort_large", lambda s, d: core.ranked_by(_table(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], F.col("o_orderdate").desc(), F.col("o_orderkey")), "SELECT o_custkey, o_orderkey, o_orderdate, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS INTEGER) AS place FROM orders")
+
+
+# Event windows
+_HOUR = 3_600_000_000
+_add("windows_tumbling", lambda s, d: core.windowed_events(_table(s, d, "events"), "ts", "1 hour", "event_type").select(F.unix_micros(F.col("start").cast("timestamp")).alias("start"), "event_type", "n"), f"SELECT epoch_us(ts) // {_HOUR} * {_HOUR} AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+_add("windows_sliding", lambda s, d: core.windowed_events(_table(s, d, "events"), "ts", "2 hours", "event_type", "1 hour").select(F.unix_micros(F.col("start").cast("timestamp")).alias("start"), "event_type", "n"), f"SELECT (epoch_us(ts) // {_HOUR} - back) * {_HOUR} AS start, event_type, count(*) AS n FROM events, (VALUES (0), (1)) AS b(back) GROUP BY ALL")
+_add("windows_session", lambda s, d: core.sessions(_table(s, d, "events"), "ts", "30 minutes", "user_id").select(F.unix_micros(F.col("start").cast("timestamp")).alias("start"), "user_id", "n"), "SELECT epoch_us(min(ts)) AS start, user_id, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS part FROM (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, part")
+
+
+def _shared(s: SparkSession, name: str) -> str:
+    """A fresh folder below the session's shared one, or a local one where it has none."""
+    shared = s.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/constella-{uuid.uuid4().hex}/{name}" if shared else "file://" + _folder(name)
+
+
+def _binary_dict(s: SparkSession, d: str) -> DataFrame:
+    """Writes ``nation`` as binary columns with a dictionary, beside its schema, and loads it."""
+    folder, text = _shared(s, "bin"), "nation:n_nationkey(int),n_name(str),n_regionkey(int);"
+    rows = _table(s, d, "nation").orderBy("n_nationkey").collect()  # the smallest dimension
+    files.put(s, f"{folder}/schema.txt", text.encode())
+    schema = files.parse_schema(text)["nation"]
+    files.write_binary_table(s, folder, "nation", {c: [r[c] for r in rows] for c in schema.names}, schema)
+    return files.load_tables(s, folder, "bin")["nation"]
+
+
+_add("load_binary_dict", _binary_dict, "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
+
+
 # Plans that run together
 def _grouped(name: str) -> Query:
     def query(s: SparkSession, d: str) -> DataFrame:

@@ -3,8 +3,10 @@ import time
 import pytest
 
 from constella.multiquery.costmodel import Profile
-from constella.multiquery.engine import Engine, EngineConfig
+from constella.multiquery.engine import Cancelled, Engine, EngineConfig
 from constella.plans import ir, star
+from constella.plans.lower import UnsupportedOperation
+from constella.plans.validate import topological
 from constella.streaming import requests
 from constella.workload import run as workload
 from constella.workload.arrivals import Arrivals
@@ -99,6 +101,54 @@ def test_bad_plan_is_refused_and_failures_are_results(engine, spark, small):
     assert failed.error and fine.rows
 
 
+def test_cancel_and_status(engine):
+    e = engine(window_ms=100_000)
+    plans = [star.QUERIES["q_1_1"](i) for i in (71, 72)]
+    futures = [e.submit(p) for p in plans]
+    assert e.status(71) == "waiting" and e.status(99) == "unknown" and not e.cancel(99)
+    assert e.cancel(71) and not e.cancel(71)
+    e.batcher.flush()
+    first, second = (f.result(timeout=60) for f in futures)
+    assert isinstance(first.error, Cancelled) and e.status(71) == "cancelled"
+    assert second.rows and e.status(72) == "done" and not e.cancel(72)
+    assert e.run([plans[0]])[0].rows == second.rows and e.status(71) == "done"
+
+
+def test_cancel_stops_running_jobs(engine, spark):
+    def sleepy(batches):
+        import time
+
+        for b in batches:
+            time.sleep(60)
+            yield b.assign(lo_revenue=b["lo_suppkey"])[["lo_suppkey", "lo_revenue"]]
+
+    e = engine(mode="naive")
+    slow = spark.range(0, 8, 1, 8).selectExpr("id AS lo_suppkey").mapInPandas(sleepy, "lo_suppkey long, lo_revenue long")
+    e.star.table = lambda name, columns=None: slow
+    b = ir.Builder(81, "slow")
+    b.take(b.filter("lineorder.lo_suppkey", "ge", 0, to="f"), "lineorder.lo_revenue", to="r")
+    plan, begun = b.result({"r": "r"}), time.time()
+    future = e.submit(plan)
+    while e.status(81) != "running":
+        time.sleep(0.05)
+    time.sleep(2)
+    assert e.cancel(81)
+    assert isinstance(future.result(timeout=60).error, Cancelled) and time.time() - begun < 50
+
+
+def test_single_items_resize_and_reset(engine):
+    e = engine()
+    plan = star.QUERIES["q_1_1"](1)
+    made = [e.run_item(i) for i in topological(plan)]
+    assert [m for m in made if m is not None] == [e.run([plan])[0].rows]
+    e.configure(concurrent=2)
+    assert e._pool._max_workers == 2 and e.run([plan])[0].rows
+    e.reset()
+    assert e.status(1) == "unknown" and not e._sizes
+    with pytest.raises(UnsupportedOperation):
+        e.run_item(next(i for i in plan.items if isinstance(i, ir.Result)))
+
+
 def test_streamed_requests(spark, engine, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
@@ -150,6 +200,42 @@ def test_workloads(spark, engine):
         workload.load({"name": "x", "query_mix": {"q_9": 1}})
 
 
+PROFILE = """
+name: small
+scale_factor: 1
+workers: 4
+iterations: 2
+query_mix: {q_1_1: 3, q_2_1: 1}
+pattern:
+  type: phases
+  max_concurrent: 2
+  phases:
+    - {name: a, duration_s: 0.4, arrival: {model: target_qps, rate: 10, variance: 0.05}}
+    - {name: b, duration_s: 0.4, arrival: {model: target_qps, start_rate: 10, end_rate: 20}, query_mix: {q_1_2: 1}}
+    - {name: c, duration_s: 0.3, arrival: {model: fixed_jitter, interval_ms: 50, jitter_ms: 10}}
+"""
+
+
+def test_profiles(spark, engine, tmp_path):
+    (tmp_path / "p.yaml").write_text(PROFILE)
+    w = workload.load_file(str(tmp_path / "p.yaml"))
+    assert (w.scale_factor, w.workers, w.iterations, w.max_concurrent) == (1, 4, 2, 2)
+    rows = workload.execute(w, engine(window_ms=20))
+    assert {r["iteration"] for r in rows} == {1, 2} and all(r["ok"] for r in rows)
+    assert {r["name"] for r in rows if r["phase"] == "b"} == {"q_1_2"}
+    assert all(r["flight"] == int(r["name"][2]) and r["in_flight"] >= 0 and r["submitted"] <= r["started"] for r in rows)
+    assert workload.records(spark, rows).count() == len(rows)
+    users = workload.profile({"name": "u", "query_mix": {"q_1_1": 1}, "pattern": {"type": "virtual_users", "num_users": 2, "queries_per_user": 2, "think_time_min_ms": 10, "think_time_max_ms": 20, "stagger_ms": 5}})
+    waits = []
+    rows = workload.execute(users, engine(window_ms=20), waits.append)
+    assert len(rows) == 4 and sorted(w for w in waits if w >= 0.01) == sorted(r["planned"] for r in rows if r["planned"])  # one pause a user
+    mix = workload.profile({"name": "m", "query_mix": {"q_1_1": 1}, "pattern": {"type": "mix", "total_queries": 3, "arrival": {"model": "poisson", "rate": 100}}})
+    assert len(workload.execute(mix, engine(window_ms=20))) == 3
+    for bad in ({"type": "never"}, {"type": "phases", "phases": [{"name": "a", "duration_s": 1, "arrival": {"model": "poisson", "rate": 1}, "query_mix": {"q_9": 1}}]}):
+        with pytest.raises(ValueError):
+            workload.profile({"name": "x", "query_mix": {"q_1_1": 1}, "pattern": bad})
+
+
 def test_comparison(spark):
     runs = spark.createDataFrame([(5, "naive", 2.0), (5, "naive", 4.0), (5, "grouped", 1.5)], "n int, mode string, seconds double")
     got = {r["mode"]: r for r in workload.comparison(runs).collect()}
