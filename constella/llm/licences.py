@@ -89,7 +89,9 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _words(unit: Column) -> Column:
-    return F.filter(F.split(F.lower(unit), "[^a-z0-9]+"), lambda w: w != "")
+    # the two letters beyond A-Z whose lower case holds one of a-z part words, as all others do
+    parted = F.replace(F.replace(unit, F.lit("\u212a"), F.lit(" ")), F.lit("\u0130"), F.lit(" "))
+    return F.filter(F.split(F.lower(parted), "[^a-z0-9]+"), lambda w: w != "")
 
 
 def _units(text: Column) -> Column:

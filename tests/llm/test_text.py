@@ -34,7 +34,7 @@ def licence_hits(rows):
 
 def test_licences(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
-    rows = [tuple(r) for r in docs.collect()] + [(9001, f"x\n\n{licences.MIT_TEXT}\n\ny"), (9002, licences.GPL_NOTICE.replace("hope", "trust")), (9003, None), (9004, ""), (9005, "a " * 3000), (9006, "released UNDER the mit license")]
+    rows = [tuple(r) for r in docs.collect()] + [(9001, f"x\n\n{licences.MIT_TEXT}\n\ny"), (9002, licences.GPL_NOTICE.replace("hope", "trust")), (9003, None), (9004, ""), (9005, "a " * 3000), (9006, "released UNDER the mit license"), (9007, "released under the m\u0130t license"), (9008, "wor\u212a released under the mit license")]
     got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {(r.doc_id, r.licence): r.units for r in got.collect()} == licence_hits(rows)
     assert licence_hits(rows)[9001, "MIT"] and licence_hits(rows)[9002, "GPL-3.0"]
